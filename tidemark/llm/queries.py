@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, jaccard_join, packing, quality, token_planes, url_filters
+from tidemark.llm import chat_format, exact_dedup, jaccard_join, line_dedup, packing, quality, token_planes, url_filters
 from tidemark.llm.common import documents, work_dir
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -34,6 +34,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", "kept_in", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
@@ -66,6 +71,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_planes": op1_token_planes,
     "op3_packing": op3_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_url_filters": op7_url_filters,
     "op8_chat_format": op8_chat_format,
