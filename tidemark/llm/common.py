@@ -63,3 +63,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a written table of ids that are broadcast at most (tens of MB); beyond it, the join shuffles.
+MAX_BROADCAST = 2_000_000
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """A written table of ids: broadcast where it has ``MAX_BROADCAST`` rows at most."""
+    return F.broadcast(small) if small.count() <= MAX_BROADCAST else small
