@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, exact_dedup, jaccard_join, line_dedup, packing, quality, token_planes, url_filters
+from tidemark.llm import audio_prints, chat_format, exact_dedup, jaccard_join, line_dedup, packing, piece_lattice, quality, token_planes, url_filters
 from tidemark.llm.common import documents, work_dir
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -29,11 +29,21 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.read_documents(segments, digest=True)
 
 
+def op2_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_lattice.read_model(vocabulary("piece_bpe_32k.model"))
+    return piece_lattice.digests(piece_lattice.encode(documents(spark, sf_dir), model))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=1)
     return packing.assign(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op4_audio_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = audio_prints.recordings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return audio_prints.align(media, F.col("id") % 20 == 0)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", "kept_in", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -70,7 +80,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_planes": op1_token_planes,
+    "op2_piece_lattice": op2_piece_lattice,
     "op3_packing": op3_packing,
+    "op4_audio_prints": op4_audio_prints,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_url_filters": op7_url_filters,
