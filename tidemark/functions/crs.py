@@ -59,11 +59,15 @@ def meridian(zone: int) -> float:
 
 def to_lonlat(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
     """Degrees of longitude and latitude of northern UTM coordinates."""
-    xi, eta = y / (SCALE * RADIUS), (x - EASTING) / (SCALE * RADIUS)
-    u, v = xi, eta
-    for j, b in enumerate(BETA, 1):
-        u = u - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        v = v - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+
+    def series(p: Column) -> Column:
+        u, v = p["xi"], p["eta"]
+        for j, b in enumerate(BETA, 1):
+            u = u - b * F.sin(2 * j * p["xi"]) * F.cosh(2 * j * p["eta"])
+            v = v - b * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
+        return F.struct(u.alias("u"), v.alias("v"))
+
+    held = let(F.struct((y / (SCALE * RADIUS)).alias("xi"), ((x - EASTING) / (SCALE * RADIUS)).alias("eta")), series)
     # latitude from the conformal latitude: Newton's method on its tangent, three steps
     e, e2 = ECCENTRICITY, ECCENTRICITY**2
 
@@ -81,21 +85,31 @@ def to_lonlat(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
     def latitude(target: Column) -> Column:
         return F.atan(F.aggregate(F.sequence(F.lit(1), F.lit(3)), target / (1 - e2), lambda tau, _: step(tau, target)))
 
-    held = F.struct(u.alias("u"), v.alias("v"))
     lon = let(held, lambda p: F.degrees(F.atan2(F.sinh(p["v"]), F.cos(p["u"])))) + meridian(zone)
     return lon, F.degrees(let(let(held, lambda p: F.tan(F.asin(F.sin(p["u"]) / F.cosh(p["v"])))), latitude))
 
 
 def to_utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
     """Northern UTM coordinates of degrees."""
-    phi, lam = F.radians(lat), F.radians(lon - meridian(zone))
-    t = F.sinh(F.atanh(F.sin(phi)) - ECCENTRICITY * F.atanh(ECCENTRICITY * F.sin(phi)))
-    u, v = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x, y = v, u
-    for j, a in enumerate(ALPHA, 1):
-        x = x + a * F.cos(2 * j * u) * F.sinh(2 * j * v)
-        y = y + a * F.sin(2 * j * u) * F.cosh(2 * j * v)
-    return EASTING + SCALE * RADIUS * x, SCALE * RADIUS * y
+    e = ECCENTRICITY
+
+    def angles(p: Column) -> Column:
+        t = F.sinh(F.atanh(F.sin(p["phi"])) - e * F.atanh(e * F.sin(p["phi"])))
+        return F.struct(t.alias("t"), p["lam"].alias("lam"))
+
+    def conformal(p: Column) -> Column:
+        return F.struct(F.atan2(p["t"], F.cos(p["lam"])).alias("u"), F.atanh(F.sin(p["lam"]) / F.sqrt(1 + p["t"] * p["t"])).alias("v"))
+
+    def series(p: Column) -> Column:
+        x, y = p["v"], p["u"]
+        for j, a in enumerate(ALPHA, 1):
+            x = x + a * F.cos(2 * j * p["u"]) * F.sinh(2 * j * p["v"])
+            y = y + a * F.sin(2 * j * p["u"]) * F.cosh(2 * j * p["v"])
+        return F.struct((EASTING + SCALE * RADIUS * x).alias("x"), (SCALE * RADIUS * y).alias("y"))
+
+    start = F.struct(F.radians(lat).alias("phi"), F.radians(lon - meridian(zone)).alias("lam"))
+    out = let(let(let(start, angles), conformal), series)
+    return out["x"], out["y"]
 
 
 def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
@@ -103,9 +117,18 @@ def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, C
     a, b = zone_of(source), zone_of(target)
     if source == target or a == b:
         return x, y
-    if a is not None:
-        x, y = to_lonlat(x, y, a)
-    return (x, y) if b is None else to_utm(x, y, b)
+    if a is None:
+        return to_utm(x, y, b)
+    if b is None:
+        return to_lonlat(x, y, a)
+
+    def moved(p: Column) -> Column:
+        east, north = to_utm(p["lon"], p["lat"], b)
+        return F.struct(east.alias("x"), north.alias("y"))
+
+    lon, lat = to_lonlat(x, y, a)
+    out = let(F.struct(lon.alias("lon"), lat.alias("lat")), moved)
+    return out["x"], out["y"]
 
 
 def reproject_line(line: Column, source: int, target: int) -> Column:

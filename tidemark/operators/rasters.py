@@ -61,11 +61,11 @@ def assemble(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
     Rows of pixels are joined tile by tile, then row by row; an image's tiles meet in one task, as the image is one row.
     """
     by_row = tiles.groupBy(*keys, "tile_row").agg(
-        F.array_sort(F.collect_list(F.struct("tile_col", "n_cols", "cells"))).alias("t"), F.max("n_rows").alias("n_rows"), F.sum("n_cols").alias("width"), F.max("tile_col").alias("last"), F.count(F.lit(1)).alias("k")
+        F.array_sort(F.collect_list(F.struct("tile_col", "n_cols", "cells"))).alias("t"), F.max("n_rows").alias("n_rows"), F.sum("n_cols").alias("width"), F.max("tile_col").alias("last"), F.count(F.lit(1)).alias("_tiles")
     )
     line = lambda r: F.flatten(F.transform("t", lambda t: F.slice(t["cells"], r * t["n_cols"] + 1, t["n_cols"])))
     strip = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), line))
-    strips = by_row.select(*keys, "tile_row", "n_rows", "width", (F.col("last") + 1 - F.col("k")).alias("gaps"), strip.alias("cells"))
+    strips = by_row.select(*keys, "tile_row", "n_rows", "width", (F.col("last") + 1 - F.col("_tiles")).alias("gaps"), strip.alias("cells"))
     whole = strips.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("tile_row", "cells"))).alias("s"), F.sum("n_rows").alias("n_rows"), F.max("width").alias("n_cols"), F.min("width").alias("narrow"),
         (F.sum("gaps") + F.max("tile_row") + 1 - F.count(F.lit(1))).alias("gaps"),

@@ -115,8 +115,8 @@ def frechet_rates(lines: DataFrame, keys: Sequence[str], year: Column, order: Co
     A pair of one year is skipped and not paired anew. The distance is free of orientation.
     """
     w = Window.partitionBy(*keys).orderBy("_t", "_o")
-    pairs = lines.select(*keys, year.cast("double").alias("_t"), order.alias("_o"), F.col(line).alias("_a"))
-    pairs = pairs.withColumn("_u", F.lead("_t").over(w)).withColumn("_b", F.lead("_a").over(w)).where("_u <> _t")
+    rows = lines.select(*keys, year.cast("double").alias("_t"), order.alias("_o"), F.col(line).alias("_a"))
+    pairs = rows.select(*keys, "_t", "_a", F.lead("_t").over(w).alias("_u"), F.lead("_a").over(w).alias("_b")).where("_u <> _t")
     found = pairs.select(*keys, F.col("_t").alias("year_start"), F.col("_u").alias("year_end"), orientation_free_frechet(F.col("_a"), F.col("_b")).alias("distance"))
     return found.withColumn("rate", F.col("distance") / (F.col("year_end") - F.col("year_start")))
 
