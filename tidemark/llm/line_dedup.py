@@ -8,7 +8,7 @@ whole shingle sets; distributed union-find joins what passes, and of each compon
 id and position, stays.
 
 A long line's shingles enter the signature only below a hash threshold that goes by their number: about ``SAMPLE`` of
-them, which leaves the slots' minima as they are, but for slots that would be empty (one in 150).
+them, which leaves the slots' minima as they are, but for slots that would be empty (one in 40).
 
 Defined cases: a null text has no lines and stays null; lines shorter than ``min_chars`` after trimming always stay, in
 place; repeated rows and rows that share an id are one document, so what stays of one stays of each; rows with a null id
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import CLEANUP, conf, discard, shuffle_partitions, work_dir, written
 from tidemark.llm.components import components
 
-#: Shingle length; bands and slots per band: a pair at 0.8 is a candidate with probability 0.999, one at 0.05 with 0.00125.
-K, BANDS, ROWS, SAMPLE = 9, 10, 3, 150
+#: Shingle length; bands and slots per band: a pair at 0.8 is a candidate with probability 0.995, one at 0.05 with 0.00006.
+K, BANDS, ROWS, SAMPLE = 9, 10, 4, 150
 
 
 def normal(line: Column) -> Column:
@@ -69,19 +69,22 @@ def candidates(signed: DataFrame) -> DataFrame:
     return both.select("a1", "a2", "b.b1", "b.b2").distinct()
 
 
-def _set(data: str) -> str:
-    return f"array_distinct(transform(sequence(0, CAST(octet_length({data}) div 2 AS INT) - {K}), i -> {shingle_hash(data, 'i')}))"
+def _set(line: str) -> str:
+    """A line's shingles: by one regular expression, or unit by unit where the line has characters of two units."""
+    units = f"encode({line}, 'UTF-16BE')"
+    slow = f"transform(sequence(0, CAST(octet_length({units}) div 2 AS INT) - {K}), i -> hex(substring({units}, 2 * i + 1, {2 * K})))"
+    return f"CASE WHEN octet_length({units}) = 2 * char_length({line}) THEN regexp_extract_all({line}, '(?s)(?=(.{{{K}}}))', 1) ELSE {slow} END"
 
 
 def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The pairs whose shingle sets have a Jaccard similarity of ``percent`` or more."""
-    text = lines.select("k1", "k2", F.encode("line", "UTF-16BE").alias("u"))
-    a = text.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("u").alias("ua"))
-    b = text.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("u").alias("ub"))
+    a = lines.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("line").alias("la"))
+    b = lines.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("line").alias("lb"))
     both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
-    sets = both.select("a1", "a2", "b1", "b2", F.expr(f"{_set('ua')} AS sa"), F.expr(f"{_set('ub')} AS sb"))
-    sized = sets.where(F.expr(f"100 * least(size(sa), size(sb)) >= {percent} * greatest(size(sa), size(sb))")).withColumn("c", F.expr("size(array_intersect(sa, sb))"))
-    return sized.where(F.expr(f"100 * c >= {percent} * (size(sa) + size(sb) - c)")).select("a1", "a2", "b1", "b2")
+    # bound in a lambda, each set is computed once
+    alike = f"({100 + percent} * size(array_intersect(x.sa, x.sb)) >= {percent} * (size(array_distinct(x.sa)) + size(array_distinct(x.sb))))"
+    passed = F.expr(f"transform(array(struct({_set('la')} AS sa, {_set('lb')} AS sb)), x -> {alike})[0]")
+    return both.where(passed).select("a1", "a2", "b1", "b2")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 24, percent: int = 80) -> DataFrame:
