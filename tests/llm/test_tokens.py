@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -29,7 +30,7 @@ def reference(name, texts, end):
 def test_memory_of_words_changes_nothing(name, spaced):
     rng = random.Random(4)
     texts = [x or "" for x in ODD] + ["".join(rng.choice(["a", "be", " ", " ", "\n", "\t", "é", "7", "'s", ".", " ", "\x1d"]) for _ in range(60)) for _ in range(600)]
-    got = Encoder(vocabulary(name), spaced).encode(texts)
+    got = Encoder(vocabulary(name), spaced, 300).encode(pa.array(texts))
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x[:-1] for x in reference(name, texts, 0)]
 
 

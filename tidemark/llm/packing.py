@@ -24,33 +24,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import conf, written
-from tidemark.llm.words import batches, encoder
+from tidemark.llm.words import KEPT_PARTS, batches, encoder
 
 GRAIN = 8
 PIECE = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, cls int, part int, rank bigint"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT_PARTS) -> DataFrame:
     """Encode and cut: one written row per piece with its ids (``<u4`` bytes), class, and rank within (partition, class)."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc, ranks = TaskContext.get().partitionId(), encoder(tokenizer, False), np.zeros(capacity // GRAIN + 2, np.int64)
-        for batch in rows:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, some in batches(texts):
-                out: list[list] = [[] for _ in range(8)]
-                for i, data in enumerate(enc.encode(some), first):
-                    data += end
-                    n = len(data) // 4
-                    for start in range(0, n, capacity):
-                        length = min(capacity, n - start)
-                        cls = -(-length // GRAIN)
-                        for column, value in zip(out, (names[i], start, length, data[4 * start : 4 * (start + length)], n, cls, part, int(ranks[cls])), strict=True):
-                            column.append(value)
-                        ranks[cls] += 1
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "cls", "part", "rank"])
+        part, enc, ranks = TaskContext.get().partitionId(), encoder(tokenizer, False, kept), np.zeros(capacity // GRAIN + 2, np.int64)
+        for names, texts in batches(rows):
+            out: list[list] = [[] for _ in range(8)]
+            for name, data in zip(names, enc.encode(texts), strict=True):
+                data += end
+                n = len(data) // 4
+                for start in range(0, n, capacity):
+                    length = min(capacity, n - start)
+                    cls = -(-length // GRAIN)
+                    for column, value in zip(out, (name, start, length, data[4 * start : 4 * (start + length)], n, cls, part, int(ranks[cls])), strict=True):
+                        column.append(value)
+                    ranks[cls] += 1
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens", "cls", "part", "rank"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     with conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):

@@ -88,18 +88,16 @@ def write_segments(
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         schema = _arrow_segment()
-        for batch in rows:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, some in batches(texts):
-                for i, data in enumerate(enc.encode(some), first):
-                    held.append(data + end)
-                    names.append(ids[i])
-                    counts.append(len(data) // 4 + 1)
-                    n += counts[-1]
-                    if n >= segment_ids:
-                        yield flush()
-                        segment, start = segment + 1, start + n
-                        names, counts, held, n = [], [], [], 0
+        for ids, texts in batches(rows):
+            for name, data in zip(ids, enc.encode(texts), strict=True):
+                held.append(data + end)
+                names.append(name)
+                counts.append(len(data) // 4 + 1)
+                n += counts[-1]
+                if n >= segment_ids:
+                    yield flush()
+                    segment, start = segment + 1, start + n
+                    names, counts, held, n = [], [], [], 0
         if names:
             yield flush()
 

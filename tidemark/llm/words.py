@@ -8,14 +8,21 @@ at a time. Where a text has white space in a form that is cut otherwise, the who
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
+from itertools import filterfalse, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Parts that a worker keeps, and the longest part kept: together a bound of some 100 MB.
-KEPT_PARTS, KEPT_LENGTH = 400_000, 48
-#: Runs of white space that a byte-level vocabulary cuts by looking past a space.
-ODD_SPACE = re.compile(r"  |[\s᠎] [\s᠎]|[\s᠎] $")
+#: White space: what either the library or Python takes for it.
+WHITE = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+#: The longest part that is kept, and the longest that outlives a full memory.
+KEPT_LENGTH, OFTEN = 48, 8
+#: New parts that go to the library in one call.
+AT_ONCE = 20_000
+#: Texts whose ids are put together at once.
+GATHER = 500
 
 
 class Encoder:
@@ -25,62 +32,157 @@ class Encoder:
     word ends).
     """
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, kept: int):
+        """kept: parts remembered at most (some 200 bytes each), of which the newer third is forgotten first if it comes but once."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.tokenizer, self.spaced, self.kept = Tokenizer.from_file(path), spaced, kept
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def parts(self, text: str) -> list[str] | None:
-        """Parts whose ids make up the text's ids; None if it must be encoded whole."""
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        if ODD_SPACE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT_PARTS:
-            self.known.clear()
-        known, cut = self.known, [self.parts(t) for t in texts]
-        new: dict[str, None] = {}
-        for parts in cut:
-            if parts is not None:
-                new.update(dict.fromkeys(parts))
-        missing = [p for p in new if p not in known]
-        fresh = dict(zip(missing, self._encode(missing), strict=True))
-        long = {p: ids for p, ids in fresh.items() if len(p) > KEPT_LENGTH}
-        known.update(fresh)
-        out = [self._encode([t])[0] if parts is None else b"".join([known[p] for p in parts]) for t, parts in zip(texts, cut, strict=True)]
-        for p in long:
-            del known[p]
+        self.recent: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.edged: set[str] = set()  # known parts that are empty or have white space at an end
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode parts, many as one text with a mark in between that is one token. With spaces, parts may hold the mark (a line's end) themselves."""
+        mark, between = ("\n", "\n ") if self.spaced else ("~", " ~ ")
+        clear = lambda p: bool(p) and p[0] not in WHITE and p[-1] not in WHITE
+        if self.spaced:  # no white space is printable but the space, which no part has
+            plain = [p for p in parts if (p.isprintable() and p) or all(map(clear, p.split(mark)))]
+        else:
+            plain = [p for p in parts if mark not in p and ((p.isprintable() and p) or clear(p))]
+        sign = int(np.frombuffer(self.whole(mark), "<u4")[0])
+        for i in range(0, len(plain), AT_ONCE):
+            some = plain[i : i + AT_ONCE]
+            (out,) = self.tokenizer.encode_batch_fast([(" " if self.spaced else "") + between.join(some)], add_special_tokens=False)
+            ids, own = np.array(out.ids, "<u4"), np.array([p.count(mark) for p in some])
+            at, last = np.flatnonzero(ids == sign), np.cumsum(own + 1) - 1
+            if len(at) != last[-1]:
+                self.learn_alone(some)
+                continue
+            data, ends = ids.tobytes(), 4 * at[last[:-1]]
+            for part, start, end in zip(some, [0, *(ends + 4).tolist()], [*ends.tolist(), len(data)], strict=True):
+                self.recent[part] = data[start:end]
+        if len(plain) < len(parts):
+            plain = set(plain)
+            self.learn_alone([p for p in parts if p not in plain])
+
+    def learn_alone(self, parts: list[str]) -> None:
+        for part, data in zip(parts, map(self.whole, [" " + p for p in parts] if self.spaced else parts), strict=True):
+            self.recent[part] = data
+            if self.spaced and (not part or part[0] in WHITE or part[-1] in WHITE):
+                self.edged.add(part)
+
+    def joined(self, first: bool, parts: list[str]) -> bool:
+        """Whether parts can be encoded one by one: no run of white space goes over a space between two of them."""
+        if self.edged.isdisjoint(parts):
+            return True
+        ends = False
+        for i, p in enumerate(parts):
+            if (not p and (i or not first)) or (ends and p[0] in WHITE):
+                return False
+            ends = bool(p) and p[-1] in WHITE
+        return True
+
+    def forget(self) -> None:
+        """Keep the memory within its bound: short parts, which come often, stay."""
+        if len(self.known) > self.kept * 2 // 3:
+            self.known = {p: x for p, x in self.known.items() if len(p) <= OFTEN}
+            if len(self.known) > self.kept // 3:
+                self.known = {}
+        if len(self.recent) > self.kept // 3:
+            self.recent = {}
+            self.edged.intersection_update(self.known)
+        if len(self.heads) > self.kept // 10:
+            self.heads = {}
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null counts as empty.
+
+        Parts are told apart by Arrow; Python sees each different part of the call once, and numpy puts the ids together.
+        """
+        self.forget()
+        plain = pc.fill_null(texts.cast(pa.large_string()), "")
+        cut = pc.split_pattern(plain if self.spaced else pc.replace_substring(plain, "\n", " "), " ")
+        starts = cut.offsets.to_numpy()
+        words = pc.dictionary_encode(cut.flatten())
+        at, parts = words.indices.to_numpy(zero_copy_only=False).astype(np.int32), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        starts = starts - starts[0] if len(starts) else starts
+        first = starts[:-1]
+        if self.spaced:  # the first part of a text has no space before it
+            heads = pc.dictionary_encode(cut.flatten().take(pa.array(first)))
+            at[first] = heads.indices.to_numpy(zero_copy_only=False) + len(parts)
+            heads = heads.dictionary.to_numpy(zero_copy_only=False).tolist()
+            for h in heads:
+                if h not in self.heads:
+                    self.heads[h] = self.whole(h) if h else b""
+        missing = list(filterfalse(self.known.__contains__, parts))
+        for p in missing:
+            if p in self.recent:
+                self.known[p] = self.recent.pop(p)
+        new = list(filterfalse(self.known.__contains__, missing))
+        self.learn(new)
+        data = list(map(self.known.get, parts))
+        for k, x in enumerate(data):
+            if x is None:
+                data[k] = self.recent[parts[k]]
+        if self.spaced:
+            data += [self.heads[h] for h in heads]
+        table = pa.array(data, pa.large_binary())
+        odd = np.zeros(len(first), bool)
+        if self.spaced and (found := self.edged.intersection(parts)):
+            edged = np.fromiter(map(found.__contains__, parts), bool, len(parts))
+            edged = np.concatenate([edged, np.fromiter((not h or h[-1] in WHITE for h in heads), bool, len(heads))])
+            odd = np.logical_or.reduceat(edged[at], first) if len(first) else odd
+        out: list[bytes] = []
+        for k in range(0, len(first), GATHER):
+            edges = starts[k : k + GATHER + 1]
+            ids = table.take(pa.array(at[edges[0] : edges[-1]]))
+            own, ends = ids.buffers()[2], np.frombuffer(ids.buffers()[1], np.int64)[edges - edges[0]].tolist()
+            own = own.to_pybytes() if own is not None else b""
+            out += [own[x:y] for x, y in pairwise(ends)]
+        for k in np.flatnonzero(odd):
+            text = plain[int(k)].as_py()
+            head, *rest = text.split(" ")
+            if not self.joined(True, rest) or (head and rest and head[-1] in WHITE and rest[0][:1] and rest[0][0] in WHITE):
+                out[k] = self.whole(text)
+        for p in new:
+            if len(p) > KEPT_LENGTH:
+                del self.recent[p]
         return out
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+#: Parts that a worker remembers unless it is told otherwise: some 250 MB.
+KEPT_PARTS = 1_200_000
+_encoders: dict[tuple[str, bool, int], Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, kept: int = KEPT_PARTS) -> Encoder:
     """One for each worker process."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = Encoder(path, spaced)
-    return _encoders[path, spaced]
+    if (path, spaced, kept) not in _encoders:
+        _encoders[path, spaced, kept] = Encoder(path, spaced, kept)
+    return _encoders[path, spaced, kept]
+
+
+def release() -> None:
+    """Give back what this worker remembers; for operators that run after one that encodes."""
+    _encoders.clear()
 
 
-def batches(texts: list[str | None], size: int = 4_000_000):
-    """(first, texts) slices of about ``size`` characters; null counts as empty."""
-    first, held, n = 0, [], 0
-    for i, text in enumerate(texts):
-        held.append(text or "")
-        n += len(held[-1])
+def batches(rows: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[tuple[list[int | None], pa.Array]]:
+    """(ids, texts) of about ``size`` bytes of text from batches of (id, text)."""
+    ids, held, n = [], [], 0
+    for batch in rows:
+        ids += batch.column(0).to_pylist()
+        held.append(batch.column(1).cast(pa.large_string()))
+        n += held[-1].nbytes
         if n >= size:
-            yield first, held
-            first, held, n = i + 1, [], 0
-    if held:
-        yield first, held
+            yield ids, pa.concat_arrays(held)
+            ids, held, n = [], [], 0
+            pa.default_memory_pool().release_unused()
+    if ids:
+        yield ids, pa.concat_arrays(held)
