@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import release
+
 #: Bounds of the training sample, for each class.
 DICT_TEXTS, FIT_TEXTS, SLICE = 600, 2500, 1000
 LEVEL = 3
@@ -158,8 +160,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = held.value.scorer()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scorer(batch.column(at).to_pylist()), pa.float64())], [*batch.schema.names, name])
+            for k in range(0, batch.num_rows, 500):  # texts are copied to Python few at a time
+                part = batch.slice(k, 500)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer(part.column(at).to_pylist()), pa.float64())], [*part.schema.names, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
