@@ -37,7 +37,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of op3 over what is left."""
-    cut = packing.pieces(docs, vocabulary("word_bpe_49k.json"), end_id=1)
+    cut = packing.pieces(docs, vocabulary("word_bpe_49k.json"), end_id=1, kept=300_000)
     return packing.assign(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
