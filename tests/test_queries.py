@@ -30,7 +30,7 @@ def test_query(spark, con, sf_dir, name):
     got = QUERIES[name](spark, sf_dir)
     columns = sorted(got.columns)
     rows = collections.Counter(tuple(plain(r[c]) for c in columns) for r in got.collect())
-    assert rows
+    assert rows or name in ORACLE_SQL  # the smallest tables leave some results empty, on both sides
     if name in ORACLE_SQL:
         out = con.execute(ORACLE_SQL[name])
         at = [d[0] for d in out.description]

@@ -596,9 +596,9 @@ def q_dsas_rate(t: Tables) -> DataFrame:
 
 @query()
 def q_border_following(t: Tables) -> DataFrame:
-    """Contours of one mask per thousand parts: twenty rows of fifty pixels, set where the size is over 20."""
+    """Contours of one mask per thousand parts: rows of fifty pixels, set where the size is over 20."""
     cells = tile_pixels(t).select("image", F.struct((F.col("tile_row") * 10 + F.col("r")).alias("row"), (F.col("tile_col") * 10 + F.col("c")).alias("col"), F.when(F.col("value") > 20, "01").otherwise("00").alias("v")).alias("p"))
-    masks = cells.groupBy("image").agg(F.array_sort(F.collect_list("p")).alias("p")).select("image", F.lit(20).alias("n_rows"), F.lit(50).alias("n_cols"), F.unhex(F.array_join(F.col("p")["v"], "")).alias("mask"))
+    masks = cells.groupBy("image").agg(F.array_sort(F.collect_list("p")).alias("p")).select("image", F.floor(F.size("p") / 50).cast("int").alias("n_rows"), F.lit(50).alias("n_cols"), F.unhex(F.array_join(F.col("p")["v"], "")).alias("mask"))
     return rasters.contours(masks, ["image"], margin=1)
 
 
@@ -610,7 +610,7 @@ def q_segment_preprocess(t: Tables) -> DataFrame:
     cells = tile_pixels(t).select("image", F.struct((F.col("tile_row") * 10 + F.col("r")).alias("row"), (F.col("tile_col") * 10 + F.col("c")).alias("col"), F.lpad(F.hex("value"), 2, "0").alias("v")).alias("p"))
     pictures = cells.groupBy("image").agg(F.array_sort(F.collect_list("p")).alias("p"))
     bgr = F.unhex(F.array_join(F.transform(F.col("p")["v"], lambda v: F.concat(F.lit("0000"), v)), ""))
-    masks = segment(pictures.select("image", F.lit(20).alias("n_rows"), F.lit(50).alias("n_cols"), bgr.alias("bgr")), _stand_in)
+    masks = segment(pictures.select("image", F.floor(F.size("p") / 50).cast("int").alias("n_rows"), F.lit(50).alias("n_cols"), bgr.alias("bgr")), _stand_in)
     ones = F.size(F.filter(F.split(F.hex("mask"), "(?<=\\G..)"), lambda x: x == "01"))
     return masks.select("image", ones.cast("bigint").alias("water_pixels"))
 
