@@ -13,7 +13,7 @@ from tidemark.plans.queries import QUERIES  # noqa: E402
 
 HEADLINE = [
     "q_calibrate_water_level", "q_change_rate", "q_flag_outliers_one", "q_frechet_discrete", "q_frechet_orientation_free", "q_frechet_rates", "q_edge_islands", "q_shoreline_ids",
-    "q_baseline_dedupe", "q_crossings", "q_beach_slope", "q_dem_sample", "q_first_reading", "q_mosaic_first", "q_stitch", "q_cast_transects", "q_dsas_rate", "q_center_lonlat",
+    "q_baseline_dedupe", "q_crossings", "q_beach_slope", "q_dem_sample", "q_first_reading", "q_mosaic_first", "q_stitch", "q_cast_transects", "q_transect_rate", "q_center_lonlat",
 ]
 
 

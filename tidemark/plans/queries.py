@@ -397,7 +397,7 @@ def q_site_date_lookup(t: Tables) -> DataFrame:
 
 
 @query(f"""{sql_with('fn')} SELECT o_orderkey, o_custkey::VARCHAR AS site, strftime(o_orderdate, '%Y') AS year, 'zip' AS suffix FROM fn""")
-def q_parse_naip_name(t: Tables) -> DataFrame:
+def q_parse_archive_name(t: Tables) -> DataFrame:
     name = F.col("name")
     return views.file_names(t).select("o_orderkey", names.archive_site(name).alias("site"), names.archive_year(name).alias("year"), names.suffix(name).alias("suffix"))
 
@@ -587,7 +587,7 @@ def q_intersect_farthest(t: Tables) -> DataFrame:
 
 @query(f"""{sql_with('bl', 'sh')}, {_MET}, cl AS (SELECT BaselineId, TransectId, ImageId, year(Date) - 1990 AS t, arg_min(ref_dist, (abs(ref_dist), ref_dist)) AS d FROM me GROUP BY ALL),
 a AS (SELECT BaselineId, TransectId, {_STATS} FROM cl GROUP BY ALL) SELECT BaselineId, TransectId, n, round({_SLOPE}, 6) AS ChangeRate FROM a""")
-def q_dsas_rate(t: Tables) -> DataFrame:
+def q_transect_rate(t: Tables) -> DataFrame:
     return transects.transect_rates(intersected(t, "closest")).select(*KEYS, "n", r6("ChangeRate").alias("ChangeRate"))
 
 
