@@ -70,3 +70,23 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted((r["doc_id"] or 0, r["text"], r["n_dropped"]) for r in line_dedup.dedup(docs).collect())
     assert got == [(0, line, 0), (4, line, 0), (4, line, 0), (9, "own words of document nine, which stay", 2)]
     assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def linked(spark, pairs):
+    """How many of the pairs of lines, each pair in two documents of its own, lose their second line."""
+    rows = [(2 * i + j, line, "s", 1, 2, 3) for i, pair in enumerate(pairs) for j, line in enumerate(pair)]
+    out = line_dedup.dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["kept_in"] in ([], [r["doc_id"] - 1]) for r in out)
+    return sum(r["n_dropped"] for r in out)
+
+
+def test_lines_of_unequal_length_meet(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n - 2)).join("<>")
+    pairs = []
+    for n in range(150, 410):
+        line, at = text(n), rng.randrange(20, n - 20)
+        pairs.append((line, line[:at] + text(n // 12) + line[at:]))
+    alike = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in pairs]
+    assert min(alike) >= 0.8
+    assert linked(spark, pairs) >= 0.99 * len(pairs)

@@ -7,8 +7,7 @@ a bucket of any size gives pairs in proportion to its lines. Each pair's exact J
 whole shingle sets; distributed union-find joins what passes, and of each component only the first line, by document
 id and position, stays.
 
-A long line's shingles enter the signature only below a hash threshold that goes by their number: about ``SAMPLE`` of
-them, which leaves the slots' minima as they are, but for slots that would be empty (one in 40).
+Every shingle of a line enters its signature, however long the line is and however often it repeats itself.
 
 Defined cases: a null text has no lines and stays null; lines shorter than ``min_chars`` after trimming always stay, in
 place; repeated rows and rows that share an id are one document, so what stays of one stays of each; rows with a null id
@@ -27,7 +26,7 @@ from tidemark.llm.common import CLEANUP, conf, discard, shuffle_partitions, work
 from tidemark.llm.components import components
 
 #: Shingle length; bands and slots per band: a pair at 0.8 is a candidate with probability 0.995, one at 0.05 with 0.00006.
-K, BANDS, ROWS, SAMPLE = 9, 10, 4, 150
+K, BANDS, ROWS = 9, 10, 4
 
 
 def normal(line: Column) -> Column:
@@ -49,9 +48,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     """(k1, k2, bands): hashes of the bands whose slots are not all empty. ``lines`` is bucketed by k1, k2, so nothing is shuffled."""
     units = lines.select("k1", "k2", F.encode("line", "UTF-16BE").alias("u"))
     units = units.withColumn("n", F.expr(f"octet_length(u) div 2 - {K - 1}")).where("n > 0")
-    hashes = units.select("k1", "k2", "n", "u", F.expr("explode(sequence(0, CAST(n AS INT) - 1)) AS i")).select("k1", "k2", "n", F.expr(f"{shingle_hash('u', 'i')} AS v"))
-    some = hashes.where(F.expr(f"shiftrightunsigned(v, 33) * n < {SAMPLE * (1 << 31)}L")).select("k1", "k2", "v", F.pmod("v", F.lit(BANDS * ROWS)).alias("slot"))
-    slots = some.groupBy("k1", "k2").agg(*(F.min(F.when(F.col("slot") == j, F.col("v"))).alias(f"m{j}") for j in range(BANDS * ROWS)))
+    hashes = units.select("k1", "k2", "u", F.expr("explode(sequence(0, CAST(n AS INT) - 1)) AS i")).select("k1", "k2", F.expr(f"{shingle_hash('u', 'i')} AS v"))
+    dealt = hashes.select("k1", "k2", "v", F.pmod("v", F.lit(BANDS * ROWS)).alias("slot"))
+    slots = dealt.groupBy("k1", "k2").agg(*(F.min(F.when(F.col("slot") == j, F.col("v"))).alias(f"m{j}") for j in range(BANDS * ROWS)))
     bands = []
     for b in range(BANDS):
         own = [F.col(f"m{b * ROWS + r}") for r in range(ROWS)]
