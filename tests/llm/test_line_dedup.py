@@ -90,3 +90,12 @@ def test_lines_of_unequal_length_meet(spark):
     alike = [len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) for a, b in pairs]
     assert min(alike) >= 0.8
     assert linked(spark, pairs) >= 0.99 * len(pairs)
+
+
+def test_repetitive_lines_of_unequal_length_meet(spark):
+    rng = random.Random(12)
+    pairs = [("x" * 3000, "x" * 2900)]
+    for _ in range(12):
+        rule = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz-=", k=rng.randint(10, 40)))
+        pairs.append((rule * 400, rule * 380))
+    assert linked(spark, pairs) == len(pairs)
