@@ -99,3 +99,7 @@ def test_repetitive_lines_of_unequal_length_meet(spark):
         rule = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz-=", k=rng.randint(10, 40)))
         pairs.append((rule * 400, rule * 380))
     assert linked(spark, pairs) == len(pairs)
+
+
+def test_a_pair_at_the_threshold_is_a_candidate():
+    assert 1 - (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS >= 0.999

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import CLEANUP, conf, discard, shuffle_partitions, work_dir, written
 from tidemark.llm.components import components
 
-#: Shingle length; bands and slots per band: a pair at 0.8 is a candidate with probability 0.995, one at 0.05 with 0.00006.
-K, BANDS, ROWS = 9, 10, 4
+#: Shingle length; bands and slots per band: a pair at 0.8 is a candidate with probability 0.9992, one at 0.05 with 0.00125.
+K, BANDS, ROWS = 9, 10, 3
 
 
 def normal(line: Column) -> Column:
