@@ -103,3 +103,16 @@ def test_repetitive_lines_of_unequal_length_meet(spark):
 
 def test_a_pair_at_the_threshold_is_a_candidate():
     assert 1 - (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS >= 0.999
+
+
+def test_every_pair_of_a_hot_bucket_meets(spark):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    phrase, rows = text(60), []  # most of every line, so that all share bands, at 0.72; those of a pair are alike at 0.82
+    for i in range(400):
+        own = phrase + text(4)
+        rows += [(2 * i, own + text(6)), (2 * i + 1, own + text(6))]
+    kept = brute(rows, 24, 80)
+    want = {d for d, t in rows if kept[d] == ""}
+    got = {r["doc_id"] for r in line_dedup.dedup(spark.createDataFrame([(i, t, "s", 1, 2, 3) for i, t in rows], SCHEMA)).collect() if r["n_dropped"]}
+    assert len(want) >= 400 and got <= want and len(got) >= 0.99 * len(want)

@@ -2,10 +2,10 @@
 
 Lines equal after trimming and lower-casing are one vertex. A vertex's signature comes from its character shingles
 (UTF-16 units): shingles are dealt by hash into slots, and each slot keeps its least hash (one-permutation MinHash).
-Bands of ``ROWS`` slots make candidates: within a band's bucket each line meets the least one and the one before it, so
-a bucket of any size gives pairs in proportion to its lines. Each pair's exact Jaccard similarity is computed from its
-whole shingle sets; distributed union-find joins what passes, and of each component only the first line, by document
-id and position, stays.
+Bands of ``ROWS`` slots make candidates: first, within a band's bucket, each line meets the least one and the one before
+it, which joins groups of near copies by pairs in proportion to their lines; then every two lines of a bucket that are
+not in one component yet meet, in blocks. Each pair's exact Jaccard similarity is computed from its whole shingle sets;
+distributed union-find joins what passes, and of each component only the first line, by document id and position, stays.
 
 Every shingle of a line enters its signature, however long the line is and however often it repeats itself.
 
@@ -27,6 +27,8 @@ from tidemark.llm.components import components
 
 #: Shingle length; bands and slots per band: a pair at 0.8 is a candidate with probability 0.9992, one at 0.05 with 0.00125.
 K, BANDS, ROWS = 9, 10, 3
+#: Lines of a bucket that meet the others in one task.
+BLOCK = 1000
 
 
 def normal(line: Column) -> Column:
@@ -58,16 +60,47 @@ def signatures(lines: DataFrame) -> DataFrame:
     return slots.select("k1", "k2", F.array_compact(F.array(*bands)).alias("bands"))
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """Distinct (a1, a2, b1, b2): each line with its bucket's least line and with its predecessor there."""
+def buckets(signed: DataFrame) -> DataFrame:
+    """(k1, k2, band, f1, f2, p1, p2): the lines that share a band with another; f: the bucket's least line, p: the line before (null for the least)."""
     rows = signed.select("k1", "k2", F.explode("bands").alias("band"))
     w = Window.partitionBy("band").orderBy("k1", "k2")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = rows.select("k1", "k2", F.first("k1").over(run).alias("f1"), F.first("k2").over(run).alias("f2"), F.lag("k1").over(w).alias("p1"), F.lag("k2").over(w).alias("p2")).where("p1 IS NOT NULL")
-    both = near.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.expr("explode(array(struct(f1 AS b1, f2 AS b2), struct(p1 AS b1, p2 AS b2))) AS b"))
+    near = rows.select("k1", "k2", "band", F.first("k1").over(run).alias("f1"), F.first("k2").over(run).alias("f2"), F.lag("k1").over(w).alias("p1"), F.lag("k2").over(w).alias("p2"), F.lead("k1").over(w).alias("next"))
+    return near.where("p1 IS NOT NULL OR next IS NOT NULL").drop("next")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Distinct (a1, a2, b1, b2) of rows of ``buckets``: each line with its bucket's least line and with its predecessor there."""
+    both = rows.where("p1 IS NOT NULL").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.expr("explode(array(struct(f1 AS b1, f2 AS b2), struct(p1 AS b1, p2 AS b2))) AS b"))
     return both.select("a1", "a2", "b.b1", "b.b2").distinct()
 
 
+def others(rows: DataFrame, found: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b): components (or single lines) that hold two linked lines of one bucket and are not one in ``found`` (k1, k2, component).
+
+    All pairs of a bucket meet, each in the first band it shares, by the sets of the lines' shingle hashes (64 bits). A
+    bucket of more than ``BLOCK`` lines is cut into blocks, and every block meets every line in a task of its own.
+    """
+    rows = rows.select("k1", "k2", "band").join(found, ["k1", "k2"], "left").withColumn("component", F.coalesce("component", F.struct("k1", "k2")))
+    split = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("low <> high")
+    rows = written(rows.join(split.select("band", "blocks"), "band"), "line-buckets")
+    units = lines.join(rows.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("band")).alias("bands")), ["k1", "k2"]).select("k1", "k2", "bands", F.encode("line", "UTF-16BE").alias("u"))
+    data = units.select("k1", "k2", "bands", F.expr(f"array_distinct(transform(sequence(0, CAST(octet_length(u) div 2 AS INT) - {K}), i -> {shingle_hash('u', 'i')}))").alias("s"))
+    cells = [F.expr(f"aggregate(s, 0L, (z, v) -> z ^ CASE WHEN shiftright(v, 6) & 3L = {j} THEN shiftleft(1L, CAST(v & 63L AS INT)) ELSE 0L END)").alias(f"c{j}") for j in range(4)]
+    data = data.select("*", F.size("s").alias("n"), *cells)
+    rows = rows.join(data, ["k1", "k2"]).withColumn("me", F.struct("component", "bands", "s", "n", "c0", "c1", "c2", "c3"))
+    a = rows.select("band", F.expr("pmod(k1, blocks)").alias("block"), F.col("me").alias("x"))
+    b = rows.select("band", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), F.col("me").alias("y"))
+    first = "x.component < y.component AND array_intersect(x.bands, y.bands)[0] = band"
+    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    # cells that hold an odd number of shingles in one line and an even number in the other have a shingle that the lines do not share
+    odd = " + ".join(f"bit_count(x.c{j} ^ y.c{j})" for j in range(4))
+    unlike = f"{100 + percent} * ({odd}) > {100 - percent} * (x.n + y.n)"
+    alike = f"{100 + percent} * size(array_intersect(x.s, y.s)) >= {percent} * (x.n + y.n)"
+    met = a.join(b.hint("merge"), ["band", "block"]).where(f"{sizes} AND NOT ({unlike}) AND {first} AND {alike}")
+    return met.select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct()
+
+
 def _set(line: str) -> str:
     """A line's shingles: by one regular expression, or unit by unit where the line has characters of two units."""
     units = f"encode({line}, 'UTF-16BE')"
@@ -86,6 +119,10 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     return both.where(passed).select("a1", "a2", "b1", "b2")
 
 
+def edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b"))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 24, percent: int = 80) -> DataFrame:
     """(doc, pos, keep_doc, keep_pos): every line that goes, and the line that stays for it. Written."""
     spark, table = docs.sparkSession, f"lines_{uuid.uuid4().hex[:12]}"
@@ -95,9 +132,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     with conf(spark, **{CLEANUP.replace(".", "__"): "true"}):
         distinct.write.option("compression", "zstd").option("path", path).bucketBy(shuffle_partitions(spark), "k1", "k2").sortBy("k1", "k2").saveAsTable(table)
     lines = spark.table(table)
-    pairs = written(candidates(signatures(lines)), "line-pairs")
-    edges = verified(pairs, lines, percent).select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b"))
-    found = components(edges).select("id.k1", "id.k2", "component")
+    shared = written(buckets(signatures(lines)), "line-buckets")
+    pairs = written(candidates(shared), "line-pairs")
+    near = written(components(edges(verified(pairs, lines, percent))), "line-components")
+    rest = written(others(shared, near.select("id.k1", "id.k2", "component"), lines, percent), "line-pairs")
+    joined = near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest)
+    found = components(joined).select("id.k1", "id.k2", "component")
     known = lines.select("k1", "k2", "first", "n").join(found, ["k1", "k2"], "left").where("n > 1 OR component IS NOT NULL")
     known = known.select("k1", "k2", "first", F.coalesce("component", F.struct("k1", "k2")).alias("component"))
     keep = known.groupBy("component").agg(F.min("first").alias("keep"))
@@ -105,7 +145,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     gone = every.select("doc", "pos", "k1", "k2").join(known, ["k1", "k2"]).where("doc <> keep.doc OR pos <> keep.pos")
     out = written(gone.select("doc", "pos", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")), "line-repeats")
     spark.sql(f"DROP TABLE {table}")
-    for used in (pairs, known, spark.read.schema(lines.schema).parquet(path)):
+    for used in (shared, pairs, near, rest, known, spark.read.schema(lines.schema).parquet(path)):
         discard(used)
     return out
 
