@@ -84,8 +84,11 @@ def others(rows: DataFrame, found: DataFrame, lines: DataFrame, percent: int) ->
     rows = rows.select("k1", "k2", "band").join(found, ["k1", "k2"], "left").withColumn("component", F.coalesce("component", F.struct("k1", "k2")))
     split = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("low <> high")
     rows = written(rows.join(split.select("band", "blocks"), "band"), "line-buckets")
-    units = lines.join(rows.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("band")).alias("bands")), ["k1", "k2"]).select("k1", "k2", "bands", F.encode("line", "UTF-16BE").alias("u"))
-    data = units.select("k1", "k2", "bands", F.expr(f"array_distinct(transform(sequence(0, CAST(octet_length(u) div 2 AS INT) - {K}), i -> {shingle_hash('u', 'i')}))").alias("s"))
+    bands = rows.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("band")).alias("bands"))
+    # written, so that no expression is carried into a lambda and computed for every shingle
+    units = written(lines.join(bands, ["k1", "k2"]).select("k1", "k2", "bands", F.encode("line", "UTF-16BE").alias("u")), "line-units")
+    data = written(units.select("k1", "k2", "bands", F.expr(f"array_distinct(transform(sequence(0, CAST(octet_length(u) div 2 AS INT) - {K}), i -> {shingle_hash('u', 'i')}))").alias("s")), "line-sets")
+    discard(units)
     cells = [F.expr(f"aggregate(s, 0L, (z, v) -> z ^ CASE WHEN shiftright(v, 6) & 3L = {j} THEN shiftleft(1L, CAST(v & 63L AS INT)) ELSE 0L END)").alias(f"c{j}") for j in range(4)]
     data = data.select("*", F.size("s").alias("n"), *cells)
     rows = rows.join(data, ["k1", "k2"]).withColumn("me", F.struct("component", "bands", "s", "n", "c0", "c1", "c2", "c3"))
