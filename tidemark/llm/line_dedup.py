@@ -2,27 +2,29 @@
 
 Lines equal after trimming and lower-casing are one vertex. A vertex's signature comes from its character shingles
 (UTF-16 units): shingles are dealt by hash into slots, and each slot keeps its least hash (one-permutation MinHash).
-Bands of ``ROWS`` slots make candidates: first, within a band's bucket, each line meets the least one and the one before
-it, which joins groups of near copies by pairs in proportion to their lines; then every two lines of a bucket that are
-not in one component yet meet, in blocks. Each pair's exact Jaccard similarity is computed from its whole shingle sets;
-distributed union-find joins what passes, and of each component only the first line, by document id and position, stays.
+Bands of ``ROWS`` slots make buckets, found by an aggregate. First, each line of a bucket meets the bucket's least one,
+which joins groups of near copies by pairs in proportion to their lines; then every two lines of a bucket that are not in
+one component yet meet, in blocks. A map of 256 bits for each line, one set for each of its shingles' hashes, rules out
+pairs whose maps differ in more bits than linked lines have shingles apart. For the others the exact Jaccard similarity
+is computed from the whole shingle sets; distributed union-find joins what passes, and of each component only the first
+line, by document id and position, stays.
 
 Every shingle of a line enters its signature, however long the line is and however often it repeats itself.
 
 Defined cases: a null text has no lines and stays null; lines shorter than ``min_chars`` after trimming always stay, in
 place; repeated rows and rows that share an id are one document, so what stays of one stays of each; rows with a null id
 are returned as they are; lines of any length are read whole; an empty table gives an empty result; all other columns
-are returned as they came.
+are returned as they came, but for those that have the name of one of the columns that ``dedup`` adds.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import CLEANUP, conf, discard, shuffle_partitions, work_dir, written
+from tidemark.llm.common import CLEANUP, MAX_BROADCAST, bounded, conf, discard, shuffle_partitions, work_dir, written
 from tidemark.llm.components import components
 
 #: Shingle length; bands and slots per band: a pair at 0.8 is a candidate with probability 0.9992, one at 0.05 with 0.00125.
@@ -42,66 +44,53 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
     return lines.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64("line", F.lit(7)))
 
 
-def shingle_hash(data: str, i: str) -> str:
-    return f"xxhash64(substring({data}, 2 * {i} + 1, {2 * K}))"
+def shingles(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, v): a hash for each place of each line."""
+    units = lines.select(*keys, F.encode("line", "UTF-16BE").alias("u"))
+    places = units.select(*keys, "u", F.expr(f"explode(sequence(0, CAST(octet_length(u) DIV 2 AS INT) - {K})) AS i"))
+    return places.select(*keys, F.expr(f"xxhash64(substring(u, 2 * i + 1, {2 * K})) AS v"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(k1, k2, bands): hashes of the bands whose slots are not all empty. ``lines`` is bucketed by k1, k2, so nothing is shuffled."""
-    units = lines.select("k1", "k2", F.encode("line", "UTF-16BE").alias("u"))
-    units = units.withColumn("n", F.expr(f"octet_length(u) div 2 - {K - 1}")).where("n > 0")
-    hashes = units.select("k1", "k2", "u", F.expr("explode(sequence(0, CAST(n AS INT) - 1)) AS i")).select("k1", "k2", F.expr(f"{shingle_hash('u', 'i')} AS v"))
-    dealt = hashes.select("k1", "k2", "v", F.pmod("v", F.lit(BANDS * ROWS)).alias("slot"))
-    slots = dealt.groupBy("k1", "k2").agg(*(F.min(F.when(F.col("slot") == j, F.col("v"))).alias(f"m{j}") for j in range(BANDS * ROWS)))
-    bands = []
-    for b in range(BANDS):
-        own = [F.col(f"m{b * ROWS + r}") for r in range(ROWS)]
-        bands.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(b), *(F.coalesce(x, F.lit(0)) for x in own))))
-    return slots.select("k1", "k2", F.array_compact(F.array(*bands)).alias("bands"))
+    """(k1, band): hashes of the bands whose slots are not all empty. ``lines`` is bucketed by k1, k2, so nothing is shuffled."""
+    dealt = shingles(lines, "k1", "k2").withColumn("slot", F.pmod("v", F.lit(BANDS * ROWS)).cast("int"))
+    least = [F.min(F.when(F.col("slot") % ROWS == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)]
+    by = dealt.groupBy("k1", "k2", F.expr(f"slot DIV {ROWS}").alias("b")).agg(*least)
+    return by.select("k1", F.xxhash64("b", *(F.coalesce(f"m{r}", F.lit(0)) for r in range(ROWS))).alias("band"))
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """(k1, k2, band, f1, f2, p1, p2): the lines that share a band with another; f: the bucket's least line, p: the line before (null for the least)."""
-    rows = signed.select("k1", "k2", F.explode("bands").alias("band"))
-    w = Window.partitionBy("band").orderBy("k1", "k2")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = rows.select("k1", "k2", "band", F.first("k1").over(run).alias("f1"), F.first("k2").over(run).alias("f2"), F.lag("k1").over(w).alias("p1"), F.lag("k2").over(w).alias("p2"), F.lead("k1").over(w).alias("next"))
-    return near.where("p1 IS NOT NULL OR next IS NOT NULL").drop("next")
+    """(band, n, low, high) of the bands that two lines share."""
+    return signed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("low"), F.max("k1").alias("high")).where("n > 1")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Distinct (a1, a2, b1, b2) of rows of ``buckets``: each line with its bucket's least line and with its predecessor there."""
-    both = rows.where("p1 IS NOT NULL").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.expr("explode(array(struct(f1 AS b1, f2 AS b2), struct(p1 AS b1, p2 AS b2))) AS b"))
-    return both.select("a1", "a2", "b.b1", "b.b2").distinct()
+def maps(held: DataFrame) -> DataFrame:
+    """(k1, k2, n, c0 to c3): places of a line, at least as many as it has different shingles, and the map of its shingles."""
+    word = lambda j: F.expr(f"bit_or(CASE WHEN shiftrightunsigned(v, 62) = {j} THEN shiftleft(1L, CAST(shiftrightunsigned(v, 56) & 63 AS INT)) ELSE 0L END)").alias(f"c{j}")
+    return shingles(held, "k1", "k2").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), *map(word, range(4)))
 
 
-def others(rows: DataFrame, found: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b): components (or single lines) that hold two linked lines of one bucket and are not one in ``found`` (k1, k2, component).
+def likely(x: str, y: str, percent: int) -> str:
+    """Whether two maps leave a Jaccard similarity of ``percent``: a bit that only one has is a shingle that the other lacks."""
+    apart = " + ".join(f"bit_count({x}.c{j} ^ {y}.c{j})" for j in range(4))
+    return f"{100 + percent} * ({apart}) <= {100 - percent} * ({x}.n + {y}.n)"
 
-    All pairs of a bucket meet, each in the first band it shares, by the sets of the lines' shingle hashes (64 bits). A
-    bucket of more than ``BLOCK`` lines is cut into blocks, and every block meets every line in a task of its own.
+
+def others(members: DataFrame, found: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a1, a2, b1, b2): likely pairs of lines of one bucket whose components in ``found`` (k1, k2, component) differ.
+
+    All pairs of a bucket meet. A bucket of more than ``BLOCK`` lines is cut into blocks, and every block meets every
+    line in a task of its own.
     """
-    rows = rows.select("k1", "k2", "band").join(found, ["k1", "k2"], "left").withColumn("component", F.coalesce("component", F.struct("k1", "k2")))
+    rows = members.select("k1", "band").join(marked, "k1").join(found, ["k1", "k2"], "left").withColumn("component", F.coalesce("component", F.struct("k1", "k2")))
+    rows = written(rows, "line-members")
     split = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("low <> high")
-    rows = written(rows.join(split.select("band", "blocks"), "band"), "line-buckets")
-    bands = rows.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("band")).alias("bands"))
-    # written, so that no expression is carried into a lambda and computed for every shingle
-    units = written(lines.join(bands, ["k1", "k2"]).select("k1", "k2", "bands", F.encode("line", "UTF-16BE").alias("u")), "line-units")
-    data = written(units.select("k1", "k2", "bands", F.expr(f"array_distinct(transform(sequence(0, CAST(octet_length(u) div 2 AS INT) - {K}), i -> {shingle_hash('u', 'i')}))").alias("s")), "line-sets")
-    discard(units)
-    cells = [F.expr(f"aggregate(s, 0L, (z, v) -> z ^ CASE WHEN shiftright(v, 6) & 3L = {j} THEN shiftleft(1L, CAST(v & 63L AS INT)) ELSE 0L END)").alias(f"c{j}") for j in range(4)]
-    data = data.select("*", F.size("s").alias("n"), *cells)
-    rows = rows.join(data, ["k1", "k2"]).withColumn("me", F.struct("component", "bands", "s", "n", "c0", "c1", "c2", "c3"))
+    split = written(split.select("band", "blocks"), "line-blocks")
+    rows = rows.join(bounded(split), "band").withColumn("me", F.struct("k1", "k2", "component", "n", "c0", "c1", "c2", "c3"))
     a = rows.select("band", F.expr("pmod(k1, blocks)").alias("block"), F.col("me").alias("x"))
     b = rows.select("band", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), F.col("me").alias("y"))
-    first = "x.component < y.component AND array_intersect(x.bands, y.bands)[0] = band"
-    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    # cells that hold an odd number of shingles in one line and an even number in the other have a shingle that the lines do not share
-    odd = " + ".join(f"bit_count(x.c{j} ^ y.c{j})" for j in range(4))
-    unlike = f"{100 + percent} * ({odd}) > {100 - percent} * (x.n + y.n)"
-    alike = f"{100 + percent} * size(array_intersect(x.s, y.s)) >= {percent} * (x.n + y.n)"
-    met = a.join(b.hint("merge"), ["band", "block"]).where(f"{sizes} AND NOT ({unlike}) AND {first} AND {alike}")
-    return met.select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct()
+    met = a.join(b.hint("merge"), ["band", "block"]).where(f"x.component < y.component AND {likely('x', 'y', percent)}")
+    return met.select(F.col("x.k1").alias("a1"), F.col("x.k2").alias("a2"), F.col("y.k1").alias("b1"), F.col("y.k2").alias("b2")).distinct()
 
 
 def _set(line: str) -> str:
@@ -135,35 +124,57 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     with conf(spark, **{CLEANUP.replace(".", "__"): "true"}):
         distinct.write.option("compression", "zstd").option("path", path).bucketBy(shuffle_partitions(spark), "k1", "k2").sortBy("k1", "k2").saveAsTable(table)
     lines = spark.table(table)
-    shared = written(buckets(signatures(lines)), "line-buckets")
-    pairs = written(candidates(shared), "line-pairs")
-    near = written(components(edges(verified(pairs, lines, percent))), "line-components")
-    rest = written(others(shared, near.select("id.k1", "id.k2", "component"), lines, percent), "line-pairs")
-    joined = near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest)
-    found = components(joined).select("id.k1", "id.k2", "component")
+    signed = written(signatures(lines), "line-signatures")
+    shared = written(buckets(signed), "line-bands")
+    members = written(signed.join(bounded(shared.where("n > 2")), "band").select("k1", "band", "low"), "line-buckets")
+    discard(signed)
+    pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.where("k1 <> low").select(F.col("low").alias("a"), F.col("k1").alias("b")))
+    pairs = written(pairs.distinct(), "line-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()  # every line of a bucket is in a pair
+    held = written(lines.select("k1", "k2", "line").join(bounded(written(asked, "line-asked")), "k1", "left_semi"), "line-texts")
+    marked = written(maps(held), "line-maps")
+    side = lambda p: marked.select(F.col("k1").alias(p), F.struct(*marked.columns).alias(f"{p}_mark"))
+    first = pairs.join(side("a"), "a").join(side("b"), "b").where(likely("a_mark", "b_mark", percent))
+    first = first.select(F.col("a").alias("a1"), F.col("a_mark.k2").alias("a2"), F.col("b").alias("b1"), F.col("b_mark.k2").alias("b2"))
+    near = written(components(edges(verified(first, held, percent))), "line-components")
+    rest = edges(verified(others(members, near.select("id.k1", "id.k2", "component"), marked, percent), held, percent))
+    found = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest)).select("id.k1", "id.k2", "component")
     known = lines.select("k1", "k2", "first", "n").join(found, ["k1", "k2"], "left").where("n > 1 OR component IS NOT NULL")
     known = known.select("k1", "k2", "first", F.coalesce("component", F.struct("k1", "k2")).alias("component"))
     keep = known.groupBy("component").agg(F.min("first").alias("keep"))
     known = written(known.select("k1", "k2", "component").join(keep, "component").select("k1", "k2", "keep"), "line-keep")
-    gone = every.select("doc", "pos", "k1", "k2").join(known, ["k1", "k2"]).where("doc <> keep.doc OR pos <> keep.pos")
+    gone = every.select("doc", "pos", "k1", "k2").join(bounded(known), ["k1", "k2"]).where("doc <> keep.doc OR pos <> keep.pos")
     out = written(gone.select("doc", "pos", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")), "line-repeats")
     spark.sql(f"DROP TABLE {table}")
-    for used in (shared, pairs, near, rest, known, spark.read.schema(lines.schema).parquet(path)):
+    for used in (shared, members, pairs, held, marked, near, known, spark.read.schema(lines.schema).parquet(path)):
         discard(used)
     return out
 
 
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 24, percent: int = 80) -> DataFrame:
+    """(row: all columns of ``docs`` as they came, text without its repeated lines, n_lines, n_dropped, kept_in)."""
+    gone = repeats(docs, id_col, text_col, min_chars, percent)
+    by = gone.groupBy("doc").agg(F.collect_set("pos").alias("pos"), F.array_sort(F.collect_set("keep_doc")).alias("keepers"))
+    few = gone.count() <= MAX_BROADCAST // 4  # some tens of MB
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc"))
+    parts = F.split(F.col("row")[text_col], "\n")
+    rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("pos"))
+    text = F.when(F.col("pos").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.transform(rest, lambda i: F.get(parts, i)), "\n"))
+    joined = rows.join(F.broadcast(by) if few else by.hint("shuffle_hash"), "doc", "left")
+    return joined.select(
+        "row",
+        text.alias("text"),
+        F.when(F.col("row")[text_col].isNull(), 0).otherwise(F.size(parts)).cast("bigint").alias("n_lines"),
+        F.when(F.col("pos").isNull(), 0).otherwise(F.size("pos")).cast("bigint").alias("n_dropped"),
+        F.coalesce("keepers", F.expr(f"CAST(array() AS array<{dict(docs.dtypes)[id_col]}>)")).alias("kept_in"),
+    )
+
+
+#: What ``dedup`` adds.
+ADDED = ("n_lines", "n_dropped", "kept_in")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 24, percent: int = 80) -> DataFrame:
     """All columns of ``docs``, the text without its repeated lines, and n_lines, n_dropped, kept_in (ids of the documents that hold what stays)."""
-    gone = repeats(docs, id_col, text_col, min_chars, percent)
-    by = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("pos").alias("_pos"), F.array_sort(F.collect_set("keep_doc")).alias("_in"))
-    parts = F.split(text_col, "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_pos"))
-    text = F.when(F.col("_pos").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(rest, lambda i: F.get(parts, i)), "\n"))
-    joined = docs.join(by.hint("shuffle_hash"), docs[id_col] == by["_doc"], "left")
-    counts = {
-        "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("bigint"),
-        "n_dropped": F.when(F.col("_pos").isNull(), 0).otherwise(F.size("_pos")).cast("bigint"),
-        "kept_in": F.coalesce("_in", F.expr(f"CAST(array() AS array<{dict(docs.dtypes)[id_col]}>)")),
-    }
-    return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns), *(v.alias(k) for k, v in counts.items()))
+    out = cut(docs, id_col, text_col, min_chars, percent)
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED), *ADDED)
