@@ -24,8 +24,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document, or an earlier place, already has."""
-    out = line_dedup.dedup(docs).where("n_dropped = 0 OR trim(text) <> ''")
-    return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    out = line_dedup.cut(docs).where("n_dropped = 0 OR trim(text) <> ''")
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("bigint")}
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
