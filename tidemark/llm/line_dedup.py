@@ -2,10 +2,10 @@
 
 Lines equal after trimming and lower-casing are one vertex. A vertex's signature comes from its character shingles
 (UTF-16 units): shingles are dealt by hash into slots, and each slot keeps its least hash (one-permutation MinHash).
-Bands of ``ROWS`` slots make buckets, found by an aggregate. First, each line of a bucket meets the bucket's least one,
-which joins groups of near copies by pairs in proportion to their lines; then every two lines of a bucket that are not in
-one component yet meet, in blocks. A map of 256 bits for each line, one set for each of its shingles' hashes, rules out
-pairs whose maps differ in more bits than linked lines have shingles apart. For the others the exact Jaccard similarity
+Bands of ``ROWS`` slots make buckets, found by an aggregate. First, the lines of a bucket meet its centre, another line
+each turn, which joins groups of near copies by pairs in proportion to their lines; then every two lines of a bucket that
+are not in one component yet meet, in blocks. A map of 1024 bits for each line, with one set for each of its shingles,
+rules out pairs whose maps differ in more bits than linked lines have shingles apart. For the others the exact Jaccard similarity
 is computed from the whole shingle sets; distributed union-find joins what passes, and of each component only the first
 line, by document id and position, stays.
 
@@ -31,6 +31,10 @@ from tidemark.llm.components import components
 K, BANDS, ROWS = 9, 10, 3
 #: Lines of a bucket that meet the others in one task.
 BLOCK = 1000
+#: 64-bit words of a line's map.
+WORDS = 16
+#: Buckets' lines meet centres so many times at most, but no more once all pairs are so many for each line at most.
+TURNS, FEW = 2, 64
 
 
 def normal(line: Column) -> Column:
@@ -65,32 +69,58 @@ def buckets(signed: DataFrame) -> DataFrame:
 
 
 def maps(held: DataFrame) -> DataFrame:
-    """(k1, k2, n, c0 to c3): places of a line, at least as many as it has different shingles, and the map of its shingles."""
-    word = lambda j: F.expr(f"bit_or(CASE WHEN shiftrightunsigned(v, 62) = {j} THEN shiftleft(1L, CAST(shiftrightunsigned(v, 56) & 63 AS INT)) ELSE 0L END)").alias(f"c{j}")
-    return shingles(held, "k1", "k2").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), *map(word, range(4)))
+    """(k1, k2, n, c0, c1, ...): places of a line, at least as many as it has different shingles, and the map of its shingles."""
+    word = lambda j: F.expr(f"bit_or(CASE WHEN shiftrightunsigned(v, 60) = {j} THEN shiftleft(1L, CAST(shiftrightunsigned(v, 54) & 63 AS INT)) ELSE 0L END)").alias(f"c{j}")
+    return shingles(held, "k1", "k2").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), *map(word, range(WORDS)))
 
 
 def likely(x: str, y: str, percent: int) -> str:
     """Whether two maps leave a Jaccard similarity of ``percent``: a bit that only one has is a shingle that the other lacks."""
-    apart = " + ".join(f"bit_count({x}.c{j} ^ {y}.c{j})" for j in range(4))
+    apart = " + ".join(f"bit_count({x}.c{j} ^ {y}.c{j})" for j in range(WORDS))
     return f"{100 + percent} * ({apart}) <= {100 - percent} * ({x}.n + {y}.n)"
 
 
-def others(members: DataFrame, found: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a1, a2, b1, b2): likely pairs of lines of one bucket whose components in ``found`` (k1, k2, component) differ.
+PAIR = ("x.k1 AS a1", "x.k2 AS a2", "y.k1 AS b1", "y.k2 AS b2")
 
-    All pairs of a bucket meet. A bucket of more than ``BLOCK`` lines is cut into blocks, and every block meets every
-    line in a task of its own.
-    """
-    rows = members.select("k1", "band").join(marked, "k1").join(found, ["k1", "k2"], "left").withColumn("component", F.coalesce("component", F.struct("k1", "k2")))
-    rows = written(rows, "line-members")
+
+def marked_pairs(pairs: DataFrame, marked: DataFrame, percent: int) -> DataFrame:
+    """Likely ones of (a, b) pairs of k1."""
+    side = lambda p, name: marked.select(F.col("k1").alias(p), F.struct(*marked.columns).alias(name))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(likely("x", "y", percent)).selectExpr(*PAIR)
+
+
+def centred(rows: DataFrame, turn: int) -> DataFrame:
+    """Distinct (a, b): each line of a bucket with the bucket's centre, another line each turn, unless they are one component already."""
+    mixed = F.xxhash64("band", F.lit(turn))
+    centre = rows.groupBy("band").agg(F.min(F.col("k1").bitwiseXOR(mixed)).alias("m")).select("band", F.col("m").bitwiseXOR(mixed).alias("a"))
+    own = rows.select(F.col("band"), F.col("k1").alias("a"), F.col("component").alias("own"))
+    centre = written(centre.join(own, ["band", "a"]), "line-centres")
+    return rows.join(bounded(centre), "band").where("component <> own").select("a", F.col("k1").alias("b")).distinct()
+
+
+def unresolved(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Written (k1, k2, n, c0 ..., band, component, blocks): members of buckets whose lines are not all of one component in ``found`` (k1, k2, component)."""
+    alone = F.struct("k1", "k2")
+    rows = members.withColumn("component", alone) if found is None else members.join(found, ["k1", "k2"], "left").withColumn("component", F.coalesce("component", alone))
     split = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("low <> high")
-    split = written(split.select("band", "blocks"), "line-blocks")
-    rows = rows.join(bounded(split), "band").withColumn("me", F.struct("k1", "k2", "component", "n", "c0", "c1", "c2", "c3"))
+    return written(rows.join(bounded(written(split.select("band", "blocks"), "line-blocks")), "band"), "line-members")
+
+
+def crossed(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of lines of one bucket that are not of one component and whose sets of 32-bit hashes are alike, but for one hash.
+
+    A bucket of more than ``BLOCK`` lines is cut into blocks, and every block meets every line in a task of its own.
+    """
+    lines = held.join(bounded(written(rows.select("k1", "k2").distinct(), "line-left")), ["k1", "k2"], "left_semi")
+    # written, so that no expression is carried into a lambda and computed for every shingle
+    units = written(lines.select("k1", "k2", F.encode("line", "UTF-16BE").alias("u")), "line-units")
+    sets = units.select("k1", "k2", F.expr(f"array_distinct(transform(sequence(0, CAST(octet_length(u) DIV 2 AS INT) - {K}), i -> hash(substring(u, 2 * i + 1, {2 * K}))))").alias("s"))
+    rows = rows.join(written(sets, "line-sets"), ["k1", "k2"]).withColumn("me", F.struct("k1", "k2", "component", "s", "n", *(f"c{j}" for j in range(WORDS))))
     a = rows.select("band", F.expr("pmod(k1, blocks)").alias("block"), F.col("me").alias("x"))
     b = rows.select("band", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), F.col("me").alias("y"))
-    met = a.join(b.hint("merge"), ["band", "block"]).where(f"x.component < y.component AND {likely('x', 'y', percent)}")
-    return met.select(F.col("x.k1").alias("a1"), F.col("x.k2").alias("a2"), F.col("y.k1").alias("b1"), F.col("y.k2").alias("b2")).distinct()
+    alike = f"{100 + percent} * (1 + size(array_intersect(x.s, y.s))) >= {percent} * (size(x.s) + size(y.s))"
+    met = a.join(b.hint("merge"), ["band", "block"]).where(f"x.component < y.component AND {likely('x', 'y', percent)} AND {alike}")
+    return met.selectExpr(*PAIR).distinct()
 
 
 def _set(line: str) -> str:
@@ -126,19 +156,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     lines = spark.table(table)
     signed = written(signatures(lines), "line-signatures")
     shared = written(buckets(signed), "line-bands")
-    members = written(signed.join(bounded(shared.where("n > 2")), "band").select("k1", "band", "low"), "line-buckets")
+    members = written(signed.join(bounded(shared.where("n > 2")), "band").select("k1", "band"), "line-buckets")
     discard(signed)
-    pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(members.where("k1 <> low").select(F.col("low").alias("a"), F.col("k1").alias("b")))
-    pairs = written(pairs.distinct(), "line-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()  # every line of a bucket is in a pair
+    twos = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
+    asked = twos.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(members.select("k1")).distinct()
     held = written(lines.select("k1", "k2", "line").join(bounded(written(asked, "line-asked")), "k1", "left_semi"), "line-texts")
     marked = written(maps(held), "line-maps")
-    side = lambda p: marked.select(F.col("k1").alias(p), F.struct(*marked.columns).alias(f"{p}_mark"))
-    first = pairs.join(side("a"), "a").join(side("b"), "b").where(likely("a_mark", "b_mark", percent))
-    first = first.select(F.col("a").alias("a1"), F.col("a_mark.k2").alias("a2"), F.col("b").alias("b1"), F.col("b_mark.k2").alias("b2"))
-    near = written(components(edges(verified(first, held, percent))), "line-components")
-    rest = edges(verified(others(members, near.select("id.k1", "id.k2", "component"), marked, percent), held, percent))
-    found = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest)).select("id.k1", "id.k2", "component")
+    members = members.join(marked, "k1")
+    rows, pairs, found, used = unresolved(members, None), marked_pairs(twos, marked, percent), None, [shared, held, marked]
+    for turn in range(TURNS):
+        near = marked_pairs(centred(rows, turn), marked, percent)
+        linked = edges(verified(near if pairs is None else pairs.unionByName(near), held, percent))
+        found = written(components(_joined(found, linked)), "line-components")
+        used += [rows, found]
+        rows, pairs = unresolved(members, found.select("id.k1", "id.k2", "component")), None
+        met = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if (met[1] or 0) <= FEW * (met[0] or 0):
+            break
+    found = components(_joined(found, edges(verified(crossed(rows, held, percent), held, percent)))).select("id.k1", "id.k2", "component")
+    used.append(rows)
     known = lines.select("k1", "k2", "first", "n").join(found, ["k1", "k2"], "left").where("n > 1 OR component IS NOT NULL")
     known = known.select("k1", "k2", "first", F.coalesce("component", F.struct("k1", "k2")).alias("component"))
     keep = known.groupBy("component").agg(F.min("first").alias("keep"))
@@ -146,11 +182,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     gone = every.select("doc", "pos", "k1", "k2").join(bounded(known), ["k1", "k2"]).where("doc <> keep.doc OR pos <> keep.pos")
     out = written(gone.select("doc", "pos", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")), "line-repeats")
     spark.sql(f"DROP TABLE {table}")
-    for used in (shared, members, pairs, held, marked, near, known, spark.read.schema(lines.schema).parquet(path)):
-        discard(used)
+    for step in (*used, known, spark.read.schema(lines.schema).parquet(path)):
+        discard(step)
     return out
 
 
+def _joined(found: DataFrame | None, linked: DataFrame) -> DataFrame:
+    """New links, and those that components stand for."""
+    return linked if found is None else found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linked)
+
+
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 24, percent: int = 80) -> DataFrame:
     """(row: all columns of ``docs`` as they came, text without its repeated lines, n_lines, n_dropped, kept_in)."""
     gone = repeats(docs, id_col, text_col, min_chars, percent)
