@@ -125,6 +125,27 @@ def test_exact_dedup_edges(spark):
     assert again.read().count() == 5 and exact_dedup.annotate(docs.limit(0), again).count() == 0
 
 
+def test_batches_meet_a_filled_index_and_a_rerun_changes_nothing(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i if i % 50 else None, f"Text {rng.randrange(60)}") for i in range(1, 400)], "doc_id long, text string")
+    whole, parts = (exact_dedup.DigestIndex(spark, work_dir(spark, "test-index"), 4) for _ in range(2))
+    want = sorted(map(str, exact_dedup.annotate(docs, whole).collect()))
+    assert sorted(map(str, exact_dedup.annotate(docs, parts, batches=3).collect())) == want
+    n = parts.read().count()
+    assert n == whole.read().count() and sorted(map(str, exact_dedup.annotate(docs, parts, batches=2).collect())) == want
+    assert parts.read().count() == n
+    parts.close()
+
+
+def test_probes_stay_in_range_at_the_ends_of_a_hash(spark):
+    keys = spark.range(300_000).selectExpr("concat('host', id, '.net') AS key")
+    bits = 1 << 20
+    low, high = keys.select(*(p.alias(f"p{i}") for i, p in enumerate(url_filters.probes(F.col("key"), 1, bits)))).agg(F.min(F.least("p0", "p1", "p4")), F.max(F.greatest("p0", "p1", "p4"))).first()
+    assert 0 <= low and high < bits
+    most = spark.sql(f"SELECT {(1 << 63) - 1}L AS a, {-(1 << 63)}L AS b")
+    assert most.select(*(F.pmod("a", F.lit(bits)) + i * (F.pmod("b", F.lit(bits - 1)) + 1) for i in range(5))).first() is not None
+
+
 def test_index_side_needs_no_exchange(spark):
     index = exact_dedup.DigestIndex(spark, work_dir(spark, "test-index"), 4)
     docs = spark.createDataFrame([(i, str(i)) for i in range(50)], "doc_id long, text string")
@@ -137,6 +158,13 @@ def test_index_side_needs_no_exchange(spark):
 # Quality
 
 
+def test_score_replaces_a_column_of_its_name(spark):
+    docs = spark.createDataFrame([(1, None, 7.0), (2, "", 7.0), (2, "", 7.0), (3, "word " * 50_000, 7.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    out = quality.score(docs, quality.train(docs, labels, F.lit(True)))
+    assert out.columns == ["doc_id", "text", "score"] and {r["score"] for r in out.collect()} == {0.5}
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -14,7 +14,7 @@ from tidemark.llm.queries import op1_token_planes, op3_packing, vocabulary
 from tidemark.llm.words import Encoder
 
 ODD = [
-    None, "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n\n a", "a\n \nb", "x   y", "tab\t tab", "<|endoftext|> x", "é" * 70 + " ́a", "I'll don't 'S",
+    None, "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "\n\n a", "a\n \nb", "x   y", "tab\t tab", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|>", "x\n<|ENDOFTEXT|> y", "é" * 70 + " ́a", "I'll don't 'S",
     "ΟΔΟΣ ΣΑΣ", "a\x1c b \x1f", "　 x   ", "word " * 3000, "w" * 5000, "end \n", "᠎ ᠎",
 ]
 SCHEMA = "doc_id long, text string, shard string, ids int, start int, cls int"
@@ -22,7 +22,6 @@ SCHEMA = "doc_id long, text string, shard string, ids int, start int, cls int"
 
 def reference(name, texts, end):
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [end] for x in texts]
 
 

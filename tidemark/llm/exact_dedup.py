@@ -54,12 +54,18 @@ class DigestIndex:
         groups.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
-    def dedup(self, rows: DataFrame) -> DataFrame:
+    def close(self) -> None:
+        """Take the table out of the session's catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def dedup(self, rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
         """Judge (id, digest) rows, append what is new, and return id, digest, keep_id, group_size.
 
-        group_size counts the rows that the call which first saw a text had of it.
+        group_size counts the rows that the call which first saw a text had of it, or is that of ``sizes`` (digest, group_size).
         """
         groups = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        if sizes is not None:
+            groups = groups.drop("group_size").join(sizes, "digest")
         new = written(self.new_groups(groups), "digest-new")
         self.append(new)
         index, total = self.read(), rows.count()
@@ -71,10 +77,25 @@ class DigestIndex:
         return found.unionByName(rest)
 
 
-def annotate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256 (lower-case hex of the normalised text)."""
+def annotate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256 (lower-case hex of the normalised text).
+
+    ``batches``: ranges of ids in which the rows come to the index, the largest ids first, so that later ones meet a
+    filled index and the answer is that of one batch. Rows with a null id come last.
+    """
     rows = written(digests(docs, id_col, text_col), "digests")
-    return index.dedup(rows).select(
+    if batches == 1:
+        found = index.dedup(rows)
+    else:
+        sizes = written(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size")), "digest-sizes")
+        low, high = rows.agg(F.min("id"), F.max("id")).first()
+        cuts = [] if low is None else [low + (high - low + 1) * k // batches for k in range(batches)]
+        found, top = None, None
+        for cut in [*reversed(cuts), None]:
+            some = F.col("id").isNull() if cut is None else (F.col("id") >= cut) & (F.lit(True) if top is None else F.col("id") < top)
+            part, top = written(index.dedup(rows.where(some), sizes), "digest-batch"), cut
+            found = part if found is None else found.unionByName(part)
+    return found.select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",

@@ -115,11 +115,13 @@ def crossed(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     # written, so that no expression is carried into a lambda and computed for every shingle
     units = written(lines.select("k1", "k2", F.encode("line", "UTF-16BE").alias("u")), "line-units")
     sets = units.select("k1", "k2", F.expr(f"array_distinct(transform(sequence(0, CAST(octet_length(u) DIV 2 AS INT) - {K}), i -> hash(substring(u, 2 * i + 1, {2 * K}))))").alias("s"))
-    rows = rows.join(written(sets, "line-sets"), ["k1", "k2"]).withColumn("me", F.struct("k1", "k2", "component", "s", "n", *(f"c{j}" for j in range(WORDS))))
+    bands = rows.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("band")).alias("bands"))
+    rows = rows.join(written(sets.join(bands, ["k1", "k2"]), "line-sets"), ["k1", "k2"]).withColumn("me", F.struct("k1", "k2", "component", "s", "bands", "n", *(f"c{j}" for j in range(WORDS))))
     a = rows.select("band", F.expr("pmod(k1, blocks)").alias("block"), F.col("me").alias("x"))
     b = rows.select("band", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), F.col("me").alias("y"))
     alike = f"{100 + percent} * (1 + size(array_intersect(x.s, y.s))) >= {percent} * (size(x.s) + size(y.s))"
-    met = a.join(b.hint("merge"), ["band", "block"]).where(f"x.component < y.component AND {likely('x', 'y', percent)} AND {alike}")
+    first = "array_intersect(x.bands, y.bands)[0] = band"  # a pair is judged in one of its buckets
+    met = a.join(b.hint("merge"), ["band", "block"]).where(f"x.component < y.component AND {likely('x', 'y', percent)} AND {first} AND {alike}")
     return met.selectExpr(*PAIR).distinct()
 
 

@@ -153,9 +153,10 @@ def _order():
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with one more column: the probability that a text is good."""
+    """``docs`` with one more column: the probability that a text is good. A column of that name that ``docs`` has is replaced."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    docs = docs.select(*(c for c in docs.columns if c == text_col or c.lower() != name.lower()))
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

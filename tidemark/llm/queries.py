@@ -71,7 +71,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.annotate(documents(spark, sf_dir), exact_dedup.DigestIndex(spark, work_dir(spark, "digest-index")))
+    index = exact_dedup.DigestIndex(spark, work_dir(spark, "digest-index"))
+    out = exact_dedup.annotate(documents(spark, sf_dir), index, batches=2)
+    index.close()
+    return out
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 def probes(key: Column, level: int, bits: int) -> list[Column]:
     """The bit positions of a key: double hashing, other seeds at each level."""
     a, b = F.xxhash64(key, F.lit(2 * level)), F.xxhash64(key, F.lit(2 * level + 1))
-    return [F.pmod(a + F.lit(i) * b.bitwiseOR(F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1)), F.lit(bits)) for i in range(PROBES)]
+    first, step = F.pmod(a, F.lit(bits)), F.pmod(b, F.lit(bits - 1)) + 1  # both below bits, so no sum overflows
+    return [F.pmod(first + F.lit(i) * step, F.lit(bits)) for i in range(PROBES)]
 
 
 def level_bits(keys: int) -> int:

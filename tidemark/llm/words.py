@@ -38,7 +38,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.kept = Tokenizer.from_file(path), spaced, kept
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
@@ -50,6 +50,8 @@ class Encoder:
     def learn(self, parts: list[str]) -> None:
         """Encode parts, many as one text with a mark in between that is one token. With spaces, parts may hold the mark (a line's end) themselves."""
         mark, between = ("\n", "\n ") if self.spaced else ("~", " ~ ")
+        texts, parts = [p for p in parts if any(m in p.lower() for m in self.special)], [p for p in parts if not any(m in p.lower() for m in self.special)]
+        self.learn_alone(texts)
         clear = lambda p: bool(p) and p[0] not in WHITE and p[-1] not in WHITE
         if self.spaced:  # no white space is printable but the space, which no part has
             plain = [p for p in parts if (p.isprintable() and p) or all(map(clear, p.split(mark)))]
@@ -145,13 +147,18 @@ class Encoder:
             own, ends = ids.buffers()[2], np.frombuffer(ids.buffers()[1], np.int64)[edges - edges[0]].tolist()
             own = own.to_pybytes() if own is not None else b""
             out += [own[x:y] for x, y in pairwise(ends)]
-        for k in np.flatnonzero(odd):
+        special = np.zeros(len(first), bool)
+        for m in self.special:  # its string in a text is a token of its own: such texts go whole
+            special |= pc.match_substring(plain, m, ignore_case=True).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(special):
+            out[k] = self.whole(plain[int(k)].as_py())
+        for k in np.flatnonzero(odd & ~special):
             text = plain[int(k)].as_py()
             head, *rest = text.split(" ")
             if not self.joined(True, rest) or (head and rest and head[-1] in WHITE and rest[0][:1] and rest[0][0] in WHITE):
                 out[k] = self.whole(text)
         for p in new:
-            if len(p) > KEPT_LENGTH:
+            if len(p) > KEPT_LENGTH and p in self.recent:
                 del self.recent[p]
         return out
 
