@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, line_dedup, packing, quality
-from tidemark.llm.common import bounded, documents, written
+from tidemark.llm.common import bounded, documents, unused, written
 from tidemark.llm.queries import held_out, vocabulary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.5 or more."""
     model = quality.train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out())
-    return quality.score(docs, model).where("score >= 0.5").select(*docs.columns)
+    name = unused(docs, "score")
+    return quality.score(docs, model, name=name).where(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
