@@ -59,9 +59,10 @@ def test_layers(spark, tmp_path):
 
 def test_geojson(spark, tmp_path):
     feature = lambda k, kind="LineString": {"type": "Feature", "properties": {"Id": k}, "geometry": {"type": kind, "coordinates": [[0, 1, 9], [2, 3, 9]]}}
-    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature(1), feature(2, "MultiPoint"), feature(3)]}))
+    many = {"type": "Feature", "properties": {"Id": 4}, "geometry": {"type": "MultiLineString", "coordinates": [[[5, 6], [7, 8]], [[9, 9], [8, 8]]]}}
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature(1), feature(2, "MultiPoint"), feature(3), many]}))
     got = files.geojson(spark, str(tmp_path / "a.geojson"), "Id: int").collect()
-    assert [(r["Id"], [tuple(p) for p in r["vertices"]]) for r in got] == [(1, [(0, 1), (2, 3)]), (3, [(0, 1), (2, 3)])]
+    assert [(r["Id"], [tuple(p) for p in r["vertices"]]) for r in got] == [(1, [(0, 1), (2, 3)]), (3, [(0, 1), (2, 3)]), (4, [(5, 6), (7, 8)]), (4, [(9, 9), (8, 8)])]
 
 
 def test_listings(spark, tmp_path):
@@ -86,26 +87,27 @@ def test_csv_and_readings(spark, tmp_path):
     assert [(r["Date"], r["verified_m"]) for r in got] == [(datetime.date(2001, 2, 3), 1.5), (datetime.date(2001, 2, 3), 9.0), (datetime.date(2002, 1, 1), None)]
 
 
-def raster(shift, size=400):
-    y, x = np.mgrid[:size, :size]
-    edge = 200 + shift + np.trunc(30 * np.sin(y / 40))
-    return codecs.write_tiff(codecs.Raster(np.where(x < edge, 255, 0).astype(np.uint8)[None], (1.0, 0.0, 1000.0, 0.0, -1.0, 5000.0), 26917))
+def raster(shift):
+    """Land west of a slanted coast with small bays."""
+    y, x = np.mgrid[:420, :460]
+    edge = 150 + y // 5 + 6 * (y // 30 % 2) + shift
+    return codecs.write_tiff(codecs.Raster(np.where(x < edge, 180, 0).astype(np.uint8)[None], (2.0, 0.0, 350000.0, 0.0, -2.0, 4700000.0), 26916))
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     at = tmp_path_factory.mktemp("images")
-    for year, shift in ((2000, 0), (2010, 10), (2020, 20)):
-        (at / f"1_{year}.tif").write_bytes(raster(shift))
+    for year, shift in ((1993, 0), (2001, 7), (2009, 15)):
+        (at / f"4_{year}.tif").write_bytes(raster(shift))
     return str(at)
 
 
 def test_folder_to_rates(spark, folder):
     out = composites.from_folder(spark, folder, Options(transect_length=120.0, transect_spacing=15.0))
     lines = out.shorelines.collect()
-    assert sorted(r["year"] for r in lines) == [2000, 2010, 2020] and out.epsg == 26917
+    assert sorted(r["year"] for r in lines) == [1993, 2001, 2009] and out.epsg == 26916
     for r in lines:
-        assert all(1150 < p["x"] < 1260 and 4600 <= p["y"] <= 5000 for p in r["vertices"])
+        assert all(350298 < p["x"] < 350530 and 4699160 <= p["y"] <= 4700000 for p in r["vertices"])
     base = out.baseline.collect()
     assert [r["Id"] for r in base] == list(range(len(base))) and {r["image_ord"] for r in base} == {0}
     n, found = out.transects.count(), out.intersections.count()
@@ -113,7 +115,7 @@ def test_folder_to_rates(spark, folder):
     signs = [np.sign(r["ChangeRate"]) for r in out.rates().collect()]
     assert max(signs.count(1), signs.count(-1)) > 0.8 * len(signs)
     similar = rates.frechet_rates(out.shorelines.withColumn("k", F.lit(1)), ["k"], F.col("year"), F.col("shoreline_id")).orderBy("year_start").collect()
-    assert [(r["year_start"], r["year_end"]) for r in similar] == [(2000, 2010), (2010, 2020)] and all(r["rate"] == pytest.approx(r["distance"] / 10) for r in similar)
+    assert [(r["year_start"], r["year_end"]) for r in similar] == [(1993, 2001), (2001, 2009)] and all(r["rate"] == pytest.approx(r["distance"] / 8) for r in similar)
     again = composites.from_baseline(spark, folder, out.baseline.select("Id", "vertices"), Options(transect_length=120.0, transect_spacing=15.0))
     assert again.intersections.count() == found
 
@@ -158,7 +160,7 @@ def test_options():
     assert (d.smooth_factor, d.transect_length, d.transect_spacing, d.edge_distance, d.least_factor, d.intersection_mode, d.transect_orientation) == (1, 500, 30, 100, 0.5, "closest", "mix")
     o = Options.from_json('{"options": {"smooth_factor": "3", "transect_length": "120.5", "intersection_mode": "farthest", "more": 1}}')
     assert (o.smooth_factor, o.transect_length, o.intersection_mode) == (3, 120.5, "farthest")
-    assert Options.from_json({"edge_distance": 5}).edge_distance == 5
+    assert Options.from_json({"edge_distance": 5}).edge_distance == 5 and Options.from_json({"shoreline_least_factor": "0.25"}).least_factor == 0.25
     with pytest.raises(ValueError, match="orientation"):
         Options.from_json({"transect_orientation": "up"})
 

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geometry import let
 
-#: EPSG code to UTM zone; None: longitude and latitude. Fixed values.
-ZONES: dict[int, int | None] = {4326: None, 4269: None, 26916: 16, 26917: 17, 6345: 16, 6346: 17}
+#: Longitude and latitude. Fixed values.
+DEGREES = (4326, 4269)
+#: EPSG code of zone 0 and zones of each series: WGS84 north, WGS84 south, NAD83, NAD83(2011). Fixed values.
+NORTH, SOUTH, NAD83, NAD83_2011 = (32600, 60), (32700, 60), (26900, 23), (6329, 19)
+#: False northing of southern zones. Fixed value.
+NORTHING = 10_000_000.0
 #: Semi-major axis and flattening of GRS 80; scale and false easting of UTM. Fixed values.
 AXIS, FLATTENING, SCALE, EASTING = 6378137.0, 1 / 298.257222101, 0.9996, 500000.0
 
@@ -48,17 +52,25 @@ ECCENTRICITY = math.sqrt(FLATTENING * (2 - FLATTENING))
 
 
 def zone_of(epsg: int) -> int | None:
-    if epsg not in ZONES:
-        raise ValueError(f"EPSG:{epsg} is not supported; known: {sorted(ZONES)}")
-    return ZONES[epsg]
+    """UTM zone, negative in the south; None: longitude and latitude."""
+    if epsg in DEGREES:
+        return None
+    for series in (NORTH, SOUTH, NAD83, NAD83_2011):
+        if 1 <= epsg - series[0] <= series[1]:
+            return (epsg - series[0]) * (-1 if series is SOUTH else 1)
+    raise ValueError(f"EPSG:{epsg} is not supported; known: longitude and latitude, and UTM on WGS84 and NAD83")
 
 
 def meridian(zone: int) -> float:
-    return 6.0 * zone - 183.0
+    return 6.0 * abs(zone) - 183.0
+
+
+def northing(zone: int) -> float:
+    return NORTHING if zone < 0 else 0.0
 
 
 def to_lonlat(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
-    """Degrees of longitude and latitude of northern UTM coordinates."""
+    """Degrees of longitude and latitude of UTM coordinates."""
 
     def series(p: Column) -> Column:
         u, v = p["xi"], p["eta"]
@@ -67,7 +79,7 @@ def to_lonlat(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
             v = v - b * F.cos(2 * j * p["xi"]) * F.sinh(2 * j * p["eta"])
         return F.struct(u.alias("u"), v.alias("v"))
 
-    held = let(F.struct((y / (SCALE * RADIUS)).alias("xi"), ((x - EASTING) / (SCALE * RADIUS)).alias("eta")), series)
+    held = let(F.struct(((y - northing(zone)) / (SCALE * RADIUS)).alias("xi"), ((x - EASTING) / (SCALE * RADIUS)).alias("eta")), series)
     # latitude from the conformal latitude: Newton's method on its tangent, three steps
     e, e2 = ECCENTRICITY, ECCENTRICITY**2
 
@@ -90,7 +102,7 @@ def to_lonlat(x: Column, y: Column, zone: int) -> tuple[Column, Column]:
 
 
 def to_utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
-    """Northern UTM coordinates of degrees."""
+    """UTM coordinates of degrees."""
     e = ECCENTRICITY
 
     def angles(p: Column) -> Column:
@@ -105,7 +117,7 @@ def to_utm(lon: Column, lat: Column, zone: int) -> tuple[Column, Column]:
         for j, a in enumerate(ALPHA, 1):
             x = x + a * F.cos(2 * j * p["u"]) * F.sinh(2 * j * p["v"])
             y = y + a * F.sin(2 * j * p["u"]) * F.cosh(2 * j * p["v"])
-        return F.struct((EASTING + SCALE * RADIUS * x).alias("x"), (SCALE * RADIUS * y).alias("y"))
+        return F.struct((EASTING + SCALE * RADIUS * x).alias("x"), (northing(zone) + SCALE * RADIUS * y).alias("y"))
 
     start = F.struct(F.radians(lat).alias("phi"), F.radians(lon - meridian(zone)).alias("lam"))
     out = let(let(let(start, angles), conformal), series)

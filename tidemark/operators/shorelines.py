@@ -59,30 +59,52 @@ def writable(lines: DataFrame, vertices: str = "vertices") -> DataFrame:
     return lines.where(F.size(vertices) >= 2)
 
 
+def _side(extents: DataFrame) -> Column:
+    """Cell side of a grid for these extents, one number: the mean side, or a part of the largest one, so that none has over 66 cells a side."""
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    return extents.agg(F.greatest(F.avg(side), F.max(side) / 64, F.lit(1e-9)).alias("s")).scalar()
+
+
+def _gridded(extents: DataFrame, side: Column) -> DataFrame:
+    """Extents in every cell that they touch: all columns, cx and cy."""
+    cells = lambda c: F.sequence(F.floor(F.col(f"{c}min") / F.col("_s")), F.floor(F.col(f"{c}max") / F.col("_s")))
+    known = extents.where("xmin <= xmax AND ymin <= ymax").withColumn("_s", side)
+    return known.withColumn("cx", F.explode(cells("x"))).withColumn("cy", F.explode(cells("y"))).drop("_s")
+
+
 def new_vertices(vertices: DataFrame, extents: DataFrame, order: str = "image_ord", x: str = "x", y: str = "y") -> DataFrame:
-    """Vertices that lie in no earlier image's extent: an anti-join. Extents are one row per image; they are broadcast up to a million."""
-    held = extents.select(F.col(order).alias("_o"), *(F.col(c).alias(f"_{c}") for c in EXTENT))
-    small = F.broadcast(held) if extents.limit(1_000_001).count() <= 1_000_000 else held
+    """Vertices that lie in no earlier image's extent: an anti-join on grid cells."""
+    side = _side(extents)
+    held = _gridded(extents.select(order, *EXTENT), side).select(F.col(order).alias("_o"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), *(F.col(c).alias(f"_{c}") for c in EXTENT))
     seen = (F.col("_o") < F.col(order)) & within(F.col(x), F.col(y), {c: F.col(f"_{c}") for c in EXTENT})
-    return vertices.join(small, seen, "left_anti")
+    placed = vertices.withColumn("_vx", F.floor(F.col(x) / side)).withColumn("_vy", F.floor(F.col(y) / side))
+    return placed.join(held, (F.col("_vx") == F.col("_cx")) & (F.col("_vy") == F.col("_cy")) & seen, "left_anti").drop("_vx", "_vy")
 
 
 def baseline(vertices: DataFrame, extents: DataFrame, order: str = "image_ord", line: str = "shoreline_id", pos: str = "pos") -> DataFrame:
     """Lines of the vertices that earlier images lack: Id from 0 in (image, line) order, n, vertices.
 
-    What survives of a line stays one line, its gaps bridged. Ids are numbered over all lines, one row each.
+    What survives of a line stays one line, its gaps bridged. Lines are numbered within their image, and images, one row
+    each, have offsets.
     """
     kept = new_vertices(vertices, extents, order)
     lines = kept.groupBy(order, line).agg(F.array_sort(F.collect_list(F.struct(pos, "x", "y"))).alias("_v"))
-    number = F.row_number().over(Window.orderBy(order, line)) - 1
+    ahead = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counts = kept.select(order, line).distinct().groupBy(order).agg(F.count(F.lit(1)).alias("_n"))
+    lines = lines.join(counts.select(order, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead")), order)
+    number = F.col("_ahead") + F.row_number().over(Window.partitionBy(order).orderBy(line)) - 1
     return lines.select(number.cast("bigint").alias("Id"), order, line, F.size("_v").cast("bigint").alias("n"), F.transform("_v", lambda v: point(v["x"], v["y"])).alias("vertices"))
 
 
 def overlapping_pairs(extents: DataFrame, key: str) -> DataFrame:
-    """(a, b) of extents that meet, a < b."""
-    a, b = (extents.select(F.col(key).alias(p), *(F.col(c).alias(f"{p}_{c}") for c in EXTENT)) for p in "ab")
+    """(a, b) of extents that meet, a < b: they join on grid cells, and a pair counts in the cell where their common part begins."""
+    cell = _side(extents)
+    gridded = _gridded(extents.select(key, *EXTENT), cell)
+    a, b = (gridded.select(F.col(key).alias(p), "cx", "cy", *(F.col(c).alias(f"{p}_{c}") for c in EXTENT)) for p in "ab")
     side = lambda p: {c: F.col(f"{p}_{c}") for c in EXTENT}
-    return a.join(b, (F.col("a") < F.col("b")) & overlaid(side("a"), side("b"))).select("a", "b")
+    met = a.join(b, ["cx", "cy"]).where((F.col("a") < F.col("b")) & overlaid(side("a"), side("b"))).withColumn("_s", cell)
+    first = lambda c: F.floor(F.greatest(f"a_{c}min", f"b_{c}min") / F.col("_s"))
+    return met.where((F.col("cx") == first("x")) & (F.col("cy") == first("y"))).select("a", "b")
 
 
 def union_lines(lines: Sequence[tuple[DataFrame, int]], epsg: int, vertices: str = "vertices") -> DataFrame | None:

@@ -54,6 +54,17 @@ def union_first_schema(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def batches(files: DataFrame, path: str = "path", size: int = 20) -> DataFrame:
-    """Files with a batch number: sorted, taken from the end, ``size`` at a time. A listing is small, so one task may number it."""
-    return files.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(F.desc(path))) - 1) / size).cast("bigint"))
+def batches(files: DataFrame, path: str = "path", size: int = 20, ranges: int = 64) -> DataFrame:
+    """Files with a batch number: sorted, taken from the end, ``size`` at a time.
+
+    A sample of the paths cuts them into ranges, which are numbered each; ranges have offsets. Null paths come last.
+    """
+    n = files.count()
+    some = sorted({r[0] for r in files.where(F.col(path).isNotNull()).select(path).sample(min(1.0, 50 * ranges / max(n, 1)), 7).collect()})
+    cuts = some[:: max(1, len(some) // ranges)]
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(path))) if cuts else F.lit(0)
+    held = files.withColumn("_r", F.when(F.col(path).isNull(), -1).otherwise(at))
+    ahead = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).select("_r", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy("_r").orderBy(F.desc(path))) - 1
+    return held.join(F.broadcast(offsets), "_r").withColumn("batch", F.floor((F.col("_ahead") + own) / size).cast("bigint")).drop("_r", "_ahead")

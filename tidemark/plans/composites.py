@@ -9,13 +9,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import geometry, names
+from tidemark.functions import crs, geometry, names
 from tidemark.functions.crs import reproject
 from tidemark.operators import profiles, rasters, rates, segmentation, shorelines, transects, waterlevels
 from tidemark.sources import files
 from tidemark.sources.options import Options
 
 log = logging.getLogger(__name__)
+#: Systems whose pictures get a longitude and a latitude.
+SYSTEMS = {first + zone for first, n in (crs.NORTH, crs.SOUTH, crs.NAD83, crs.NAD83_2011) for zone in range(1, n + 1)}
 
 
 @dataclass(frozen=True)
@@ -177,7 +179,7 @@ def archive_tiles(spark: SparkSession, folder: str, size: int = 1000) -> DataFra
     name = names.base_name(F.regexp_extract("path", r"^(.*)!", 1))
     x, y = geometry.to_geo(F.floor(F.col("n_cols") / 2), F.floor(F.col("n_rows") / 2), F.col("transform"))
     lon, lat = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for epsg in (26916, 26917):
+    for epsg in sorted({r["epsg"] for r in raster.select("epsg").distinct().collect()} & SYSTEMS):  # those of the headers, a handful
         a, b = reproject(x, y, epsg, 4326)
         lon, lat = F.when(F.col("epsg") == epsg, a).otherwise(lon), F.when(F.col("epsg") == epsg, b).otherwise(lat)
     grid = rasters.tile_grid(F.col("n_rows"), F.col("n_cols"), size)

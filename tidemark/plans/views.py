@@ -62,13 +62,13 @@ def contour_vertices(t: Tables, margin: int = 20) -> DataFrame:
 
 
 def coast(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(baselines, shorelines): ten baselines far from one another, and dated lines along them."""
+    """(baselines, shorelines): every line is a baseline of its site of ten, sites far from one another, and a dated line there."""
     e = F.col("embedding")
     at = F.sequence(F.lit(0), F.lit(31))
-    base = F.transform(at, lambda i: F.struct((i * 10.0 + F.col("vec_id") * 1000.0).alias("x"), (F.get(e, 2 * i + 1).cast("double") * 20.0).alias("y")))
-    shore = F.transform(at, lambda i: F.struct((i * 10.0 + (F.col("vec_id") % 10) * 1000.0).alias("x"), (F.get(e, 2 * i + 1).cast("double") * 20.0 + 15.0 + F.col("vec_id") / 97.0).alias("y")))
-    baselines = t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("Id"), base.alias("vertices"))
-    day = F.make_date((1990 + F.floor(F.col("vec_id") / 10)).cast("int"), F.lit(1), F.lit(1))
+    base = F.transform(at, lambda i: F.struct((i * 10.0 + F.floor(F.col("vec_id") / 10) * 1000.0).alias("x"), (F.get(e, 2 * i + 1).cast("double") * 20.0).alias("y")))
+    shore = F.transform(at, lambda i: F.struct((i * 10.0 + F.floor(F.col("vec_id") / 10) * 1000.0).alias("x"), (F.get(e, 2 * i + 1).cast("double") * 20.0 + 15.0 + F.col("vec_id") / 97.0).alias("y")))
+    baselines = t.embeddings.select(F.col("vec_id").alias("Id"), base.alias("vertices"))
+    day = F.make_date((1990 + F.col("vec_id") % 10).cast("int"), F.lit(1), F.lit(1))
     return baselines, t.embeddings.select(F.col("vec_id").alias("ImageId"), day.alias("Date"), shore.alias("vertices"))
 
 
@@ -104,8 +104,8 @@ SQL = {
     "cv": "cv AS (SELECT user_id % 5 AS image_ord, user_id AS contour_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value AS x, event_id % 359 + 20.5e0 AS y FROM events)",
     "ce": "ce AS (SELECT *, x <= 20 OR y <= 20 OR x >= 380 OR y >= 381 AS edge FROM cv)",
     "fn": "fn AS (SELECT o_orderkey, o_custkey, o_orderdate, 'm_' || o_custkey || '_' || ['sw', 'se', 'nw', 'ne'][o_orderkey % 4 + 1] || '_16_1_' || strftime(o_orderdate, '%Y%m%d') || '.zip' AS name FROM orders)",
-    "bl": "bl AS (SELECT vec_id AS Id, i AS pos, i * 10e0 + vec_id * 1000e0 AS x, embedding[2 * i + 2]::DOUBLE * 20e0 AS y FROM embeddings, range(32) AS r(i) WHERE vec_id < 10)",
-    "sh": "sh AS (SELECT vec_id AS ImageId, make_date(1990 + vec_id // 10, 1, 1) AS Date, i AS pos, i * 10e0 + (vec_id % 10) * 1000e0 AS x, embedding[2 * i + 2]::DOUBLE * 20e0 + 15e0 + vec_id / 97e0 AS y FROM embeddings, range(32) AS r(i))",
+    "bl": "bl AS (SELECT vec_id AS Id, i AS pos, i * 10e0 + (vec_id // 10) * 1000e0 AS x, embedding[2 * i + 2]::DOUBLE * 20e0 AS y FROM embeddings, range(32) AS r(i))",
+    "sh": "sh AS (SELECT vec_id AS ImageId, make_date(1990 + vec_id % 10, 1, 1) AS Date, i AS pos, i * 10e0 + (vec_id // 10) * 1000e0 AS x, embedding[2 * i + 2]::DOUBLE * 20e0 + 15e0 + vec_id / 97e0 AS y FROM embeddings, range(32) AS r(i))",
 }
 
 

@@ -259,16 +259,17 @@ def read_shapefile(shp: bytes, dbf: bytes) -> tuple[list[list[tuple[float, float
 
 def projection_text(epsg: int) -> str:
     """Well-known text of the systems that are supported."""
-    from tidemark.functions.crs import meridian, zone_of
+    from tidemark.functions.crs import NORTH, SOUTH, meridian, northing, zone_of
 
     zone = zone_of(epsg)
-    datum = ("WGS_1984", "WGS_1984", 298.257223563) if epsg == 4326 else ("North_American_1983", "GRS_1980", 298.257222101)
+    wgs = epsg == 4326 or any(1 <= epsg - first <= n for first, n in (NORTH, SOUTH))
+    datum = ("WGS_1984", "WGS_1984", 298.257223563) if wgs else ("North_American_1983", "GRS_1980", 298.257222101)
     geographic = f'GEOGCS["GCS_{datum[0]}",DATUM["D_{datum[0]}",SPHEROID["{datum[1]}",6378137.0,{datum[2]}]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433],AUTHORITY["EPSG","{epsg}"]]'
     if zone is None:
         return geographic
-    values = {"False_Easting": 500000.0, "False_Northing": 0.0, "Central_Meridian": meridian(zone), "Scale_Factor": 0.9996, "Latitude_Of_Origin": 0.0}
+    values = {"False_Easting": 500000.0, "False_Northing": northing(zone), "Central_Meridian": meridian(zone), "Scale_Factor": 0.9996, "Latitude_Of_Origin": 0.0}
     inner = geographic.replace(f',AUTHORITY["EPSG","{epsg}"]', "")
-    return f'PROJCS["UTM_Zone_{zone}N",{inner},PROJECTION["Transverse_Mercator"],{",".join(f"""PARAMETER["{k}",{v}]""" for k, v in values.items())},UNIT["Meter",1.0],AUTHORITY["EPSG","{epsg}"]]'
+    return f'PROJCS["UTM_Zone_{abs(zone)}{'S' if zone < 0 else 'N'}",{inner},PROJECTION["Transverse_Mercator"],{",".join(f"""PARAMETER["{k}",{v}]""" for k, v in values.items())},UNIT["Meter",1.0],AUTHORITY["EPSG","{epsg}"]]'
 
 
 def epsg_of(text: str) -> int:

@@ -164,11 +164,17 @@ def shapefiles(spark: SparkSession, folder: str, record: str) -> DataFrame:
 
 
 def geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
-    """Line features of GeoJSON collections: pos, vertices, and the properties by a schema text; further dimensions are dropped."""
-    schema = f"features array<struct<properties: struct<{properties}>, geometry: struct<type: string, coordinates: array<array<double>>>>>"
+    """Line features of GeoJSON collections: pos, vertices, and the properties by a schema text; further dimensions are dropped.
+
+    Each line of a multiple one is a row of its feature's pos. Features of other kinds are left out.
+    """
+    schema = f"features array<struct<properties: struct<{properties}>, geometry: string>>"
     rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.posexplode("features").alias("pos", "f"))
-    vertices = F.transform("f.geometry.coordinates", lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")))
-    return rows.where("f.geometry.type = 'LineString'").select(F.col("pos").cast("bigint").alias("pos"), vertices.alias("vertices"), "f.properties.*")
+    kind, held = F.get_json_object("f.geometry", "$.type"), F.get_json_object("f.geometry", "$.coordinates")
+    many = F.when(kind == "LineString", F.array(F.from_json(held, "array<array<double>>"))).when(kind == "MultiLineString", F.from_json(held, "array<array<array<double>>>"))
+    lines = rows.select(F.col("pos").cast("bigint").alias("pos"), "f.properties", F.explode(many).alias("line"))
+    vertices = F.transform("line", lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")))
+    return lines.select("pos", vertices.alias("vertices"), "properties.*")
 
 
 def csv_tables(spark: SparkSession, folder: str, prefix: str, suffix: str, schema: str | None = None) -> DataFrame | None:

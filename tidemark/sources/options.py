@@ -6,6 +6,8 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
+#: Keys of the published tool that have another name here. Fixed values.
+ALIASES = {"shoreline_least_factor": "least_factor"}
 MODES, ORIENTATIONS = ("closest", "farthest"), ("left", "right", "mix")
 
 
@@ -32,5 +34,6 @@ class Options:
         """From JSON text or a mapping, perhaps below the key ``options``; strings become numbers, unknown keys are ignored."""
         held = json.loads(value) if isinstance(value, str) else dict(value)
         held = held.get("options", held)
+        held = {ALIASES.get(k, k): v for k, v in held.items()}
         kinds = {"int": int, "float": float, "str": str}
         return cls(**{f.name: (int(float(held[f.name])) if f.type == "int" else kinds[f.type](held[f.name])) for f in fields(cls) if f.name in held})
