@@ -77,23 +77,24 @@ def crossings(transects: DataFrame, pieces: DataFrame, keep: Sequence[str], cell
     cell that holds the crossing, so nothing has to be made distinct. ref_dist is signed, from the baseline's point
     along the transect.
     """
-    t = transects.select("BaselineId", "TransectId", *ENDS, "bx", "by", F.explode(_cells(*(F.col(c) for c in ENDS), cell)).alias("c")).select("*", "c.cx", "c.cy").drop("c")
-    names = ("sx0", "sy0", "sx1", "sy1")
-    s = pieces.select(*keep, *names, F.explode(_cells(*(F.col(c) for c in names), cell)).alias("c")).select("*", "c.cx", "c.cy").drop("c")
-    met = t.join(s, ["cx", "cy"])
-    dx, dy, ex, ey = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0")
-    cross = dx * ey - dy * ex
-    px, py = F.col("sx0") - F.col("x0"), F.col("sy0") - F.col("y0")
-    safe = F.when(cross != 0, cross)
-    met = met.withColumn("u", (px * ey - py * ex) / safe).withColumn("v", (px * dy - py * dx) / safe).where("u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1")
-    met = met.withColumn("x", F.col("x0") + F.col("u") * dx).withColumn("y", F.col("y0") + F.col("u") * dy)
+    def sided(rows: DataFrame, kept: Sequence[str], ends: Sequence[str], p: str) -> DataFrame:
+        """Kept columns, start, direction and bounding box (names begin with p), once for each cell."""
+        x0, y0, x1, y1 = (F.col(c) for c in ends)
+        own = {"x": x0, "y": y0, "dx": x1 - x0, "dy": y1 - y0, "left": F.least(x0, x1), "right": F.greatest(x0, x1), "low": F.least(y0, y1), "high": F.greatest(y0, y1)}
+        return rows.select(*kept, *(v.alias(p + k) for k, v in own.items()), F.explode(_cells(x0, y0, x1, y1, cell)).alias("c")).select("*", "c.cx", "c.cy").drop("c")
+
+    # what a pair needs is computed before the join, so that its expressions stay small enough to be compiled
+    t = sided(transects, ("BaselineId", "TransectId", "bx", "by"), ENDS, "t_")
+    s = sided(pieces, keep, ("sx0", "sy0", "sx1", "sy1"), "s_")
+    met = t.join(s, ["cx", "cy"]).where("t_left <= s_right AND s_left <= t_right AND t_low <= s_high AND s_low <= t_high AND t_dx * s_dy - t_dy * s_dx <> 0")
+    across, along = ("((s_x - t_x) * s_dy - (s_y - t_y) * s_dx)", "((s_x - t_x) * t_dy - (s_y - t_y) * t_dx)")
+    met = met.withColumn("at", F.explode(F.array(F.struct(F.expr(f"{across} / (t_dx * s_dy - t_dy * s_dx)").alias("u"), F.expr(f"{along} / (t_dx * s_dy - t_dy * s_dx)").alias("v")))))
+    met = met.where("at.u BETWEEN 0 AND 1 AND at.v BETWEEN 0 AND 1").withColumn("x", F.expr("t_x + at.u * t_dx")).withColumn("y", F.expr("t_y + at.u * t_dy"))
     # the cell of the crossing, held within both bounding boxes against rounding
-    held = lambda p, a, b, c, d: F.floor(F.greatest(F.least(p, F.greatest(a, b), F.greatest(c, d)), F.least(a, b), F.least(c, d)) / F.lit(float(cell)))
-    col = {c: F.col(c) for c in (*ENDS, *names)}
-    own = (F.col("cx") == held(F.col("x"), col["x0"], col["x1"], col["sx0"], col["sx1"])) & (F.col("cy") == held(F.col("y"), col["y0"], col["y1"], col["sy0"], col["sy1"]))
-    length = F.sqrt(dx * dx + dy * dy)
-    along = ((F.col("x") - F.col("bx")) * dx + (F.col("y") - F.col("by")) * dy) / length
-    return met.where(own).select("BaselineId", "TransectId", *keep, along.alias("ref_dist"), "x", "y")
+    held = lambda p, low, high: F.floor(F.greatest(F.least(p, f"t_{high}", f"s_{high}"), f"t_{low}", f"s_{low}") / F.lit(float(cell)))
+    met = met.where((F.col("cx") == held("x", "left", "right")) & (F.col("cy") == held("y", "low", "high")))
+    distance = F.expr("((x - bx) * t_dx + (y - by) * t_dy) / sqrt(t_dx * t_dx + t_dy * t_dy)")
+    return met.select("BaselineId", "TransectId", *keep, distance.alias("ref_dist"), "x", "y")
 
 
 def pick(found: DataFrame, keys: Sequence[str], mode: str = "closest") -> DataFrame:
