@@ -169,7 +169,8 @@ def elevation_shift(sampled: DataFrame, keys: list[str], readings: DataFrame, da
 
 
 def archive_tiles(spark: SparkSession, folder: str, size: int = 1000) -> DataFrame:
-    """Pictures in ZIP archives, cut to whole tiles: site, year, name, tile columns, centre lon and lat, bgr cells; a bad archive has an error.
+    """Pictures in ZIP archives, cut to whole tiles: site, year, name, tile columns, centre lon and lat, bgr cells, and the
+    picture's epsg and transform; a bad archive has an error.
 
     Names that begin with m or M have a fourth, infrared band.
     """
@@ -185,11 +186,11 @@ def archive_tiles(spark: SparkSession, folder: str, size: int = 1000) -> DataFra
     grid = rasters.tile_grid(F.col("n_rows"), F.col("n_cols"), size)
     placed = files.bgr_pixels(raster).select(
         names.archive_site(name).alias("site"), names.archive_year(name).alias("year"), name.alias("name"), name.rlike("^[mM]").alias("infrared"), lon.alias("lon"), lat.alias("lat"),
-        "n_cols", "bgr", grid.alias("grid"),
+        "epsg", "transform", F.col("n_cols").alias("width"), "bgr", grid.alias("grid"),
     )
     rows = placed.withColumn("t", F.explode_outer("grid"))
-    line = lambda r: F.substring("bgr", ((F.col("t.row0") + r) * F.col("n_cols") + F.col("t.col0")) * 3 + 1, F.col("t.n_cols") * 3)
+    line = lambda r: F.substring("bgr", ((F.col("t.row0") + r) * F.col("width") + F.col("t.col0")) * 3 + 1, F.col("t.n_cols") * 3)
     cells = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("t.n_rows") - 1), line), F.unhex(F.lit("")), lambda s, x: F.concat(s, x))
-    out = rows.select("site", "year", "name", "infrared", "lon", "lat", "t.*", F.when(F.col("t").isNotNull(), cells).alias("bgr"), F.lit(None).cast("string").alias("error"))
+    out = rows.select("site", "year", "name", "infrared", "lon", "lat", "epsg", "transform", "t.*", F.when(F.col("t").isNotNull(), cells).alias("bgr"), F.lit(None).cast("string").alias("error"))
     bad = members.where("error IS NOT NULL").select(names.base_name(F.col("path")).alias("name"), "error")
     return out.unionByName(bad, allowMissingColumns=True)
