@@ -116,3 +116,25 @@ def test_every_pair_of_a_hot_bucket_meets(spark):
     want = {d for d, t in rows if kept[d] == ""}
     got = {r["doc_id"] for r in line_dedup.dedup(spark.createDataFrame([(i, t, "s", 1, 2, 3) for i, t in rows], SCHEMA)).collect() if r["n_dropped"]}
     assert len(want) >= 400 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_steps_are_discarded_as_soon_as_the_next_is_there(spark, monkeypatch):
+    """Rows with a map for each bucket of a line are never held twice, and no step of buckets stays at the end."""
+    held, most, write, discard = {}, [], line_dedup.written, line_dedup.discard
+
+    def written(df, name, *rest):
+        out = write(df, name, *rest)
+        held.update(dict.fromkeys({f.rpartition("/")[0] for f in out.inputFiles()}, name))
+        most.append(sum(x == "line-members" for x in held.values()))
+        return out
+
+    def gone(df):
+        for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            held.pop(f, None)
+        discard(df)
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    monkeypatch.setattr(line_dedup, "discard", gone)
+    line_dedup.repeats(spark.createDataFrame([(i, t, "s", 1, 2, 3) for i, t in corpus()], SCHEMA))
+    assert max(most) == 1
+    assert not {"line-members", "line-buckets", "line-asked", "line-maps", "line-texts", "line-bands"} & set(held.values())

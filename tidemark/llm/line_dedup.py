@@ -158,25 +158,32 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     lines = spark.table(table)
     signed = written(signatures(lines), "line-signatures")
     shared = written(buckets(signed), "line-bands")
-    members = written(signed.join(bounded(shared.where("n > 2")), "band").select("k1", "band"), "line-buckets")
+    in_buckets = members = written(signed.join(bounded(shared.where("n > 2")), "band").select("k1", "band"), "line-buckets")
     discard(signed)
     twos = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
     asked = twos.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(members.select("k1")).distinct()
-    held = written(lines.select("k1", "k2", "line").join(bounded(written(asked, "line-asked")), "k1", "left_semi"), "line-texts")
+    asked = written(asked, "line-asked")
+    held = written(lines.select("k1", "k2", "line").join(bounded(asked), "k1", "left_semi"), "line-texts")
+    discard(asked)
     marked = written(maps(held), "line-maps")
     members = members.join(marked, "k1")
-    rows, pairs, found, used = unresolved(members, None), marked_pairs(twos, marked, percent), None, [shared, held, marked]
+    rows, pairs, found = unresolved(members, None), marked_pairs(twos, marked, percent), None
     for turn in range(TURNS):
         near = marked_pairs(centred(rows, turn), marked, percent)
         linked = edges(verified(near if pairs is None else pairs.unionByName(near), held, percent))
-        found = written(components(_joined(found, linked)), "line-components")
-        used += [rows, found]
+        before, found = found, written(components(_joined(found, linked)), "line-components")
+        # a step's files go as soon as the next one is written; rows repeat a line's map for each of its buckets
+        for step in (rows, shared if pairs is not None else None, before):
+            if step is not None:
+                discard(step)
         rows, pairs = unresolved(members, found.select("id.k1", "id.k2", "component")), None
         met = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
         if (met[1] or 0) <= FEW * (met[0] or 0):
             break
-    found = components(_joined(found, edges(verified(crossed(rows, held, percent), held, percent)))).select("id.k1", "id.k2", "component")
-    used.append(rows)
+    discard(in_buckets)
+    before, found = found, components(_joined(found, edges(verified(crossed(rows, held, percent), held, percent)))).select("id.k1", "id.k2", "component")
+    for step in (rows, before, held, marked):
+        discard(step)
     known = lines.select("k1", "k2", "first", "n").join(found, ["k1", "k2"], "left").where("n > 1 OR component IS NOT NULL")
     known = known.select("k1", "k2", "first", F.coalesce("component", F.struct("k1", "k2")).alias("component"))
     keep = known.groupBy("component").agg(F.min("first").alias("keep"))
@@ -184,7 +191,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     gone = every.select("doc", "pos", "k1", "k2").join(bounded(known), ["k1", "k2"]).where("doc <> keep.doc OR pos <> keep.pos")
     out = written(gone.select("doc", "pos", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")), "line-repeats")
     spark.sql(f"DROP TABLE {table}")
-    for step in (*used, known, spark.read.schema(lines.schema).parquet(path)):
+    for step in (known, spark.read.schema(lines.schema).parquet(path)):
         discard(step)
     return out
 
