@@ -1,7 +1,10 @@
 """Fuzzy line dedup against all pairs of lines."""
 
+import os
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import line_dedup
 
 SCHEMA = "doc_id long, text string, doc string, pos int, keep long, k1 long"
@@ -138,3 +141,25 @@ def test_steps_are_discarded_as_soon_as_the_next_is_there(spark, monkeypatch):
     line_dedup.repeats(spark.createDataFrame([(i, t, "s", 1, 2, 3) for i, t in corpus()], SCHEMA))
     assert max(most) == 1
     assert not {"line-members", "line-buckets", "line-asked", "line-maps", "line-texts", "line-bands"} & set(held.values())
+
+
+def test_texts_go_before_lines_are_crossed(spark, monkeypatch):
+    base, seen, crossed = spark.sparkContext.getConf().get("spark.checkpoint.dir") + "/tidemark", [], line_dedup.crossed
+    tables = lambda: {f for f in os.listdir(base) if f.startswith("lines-")} if os.path.isdir(base) else set()
+    before, rng = tables(), random.Random(8)
+    long = "".join(rng.choices("abcdefghij ", k=60_000))  # so many shingles that their 16-bit hashes coincide
+    other = long[:30_000] + "#" * 40 + long[30_000:55_000]
+    rows = [(i, f"line number {i} of this text\n{t}") for i, t in enumerate([long, other, long[::-1]])]
+    monkeypatch.setattr(line_dedup, "crossed", lambda *a: (seen.append(tables() - before), crossed(*a))[1])
+    out = {r["doc_id"]: r["kept_in"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1][-1:] == [0] and not out[2]
+    assert seen == [set()]
+
+
+def test_crossed_sets_lose_no_long_pair(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefghij ", k=60_000))
+    held = spark.createDataFrame([(1, 1, long), (2, 2, long[:54_000])], "k1 long, k2 long, line string")
+    marked = line_dedup.maps(held).select("k1", "k2", "n", *(F.lit(0).cast("long").alias(f"c{j}") for j in range(line_dedup.WORDS)))
+    rows = marked.withColumn("band", F.lit(5)).withColumn("component", F.struct("k1", "k2")).withColumn("blocks", F.lit(1).cast("long"))
+    assert [tuple(r) for r in line_dedup.crossed(rows, held, 80).collect()] == [(1, 1, 2, 2)]

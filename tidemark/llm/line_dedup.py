@@ -107,22 +107,28 @@ def unresolved(members: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def crossed(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of lines of one bucket that are not of one component and whose sets of 32-bit hashes are alike, but for one hash.
+    """Distinct pairs of lines of one bucket that are not of one component and whose sets of 16-bit hashes leave a similarity of ``percent``.
 
-    A bucket of more than ``BLOCK`` lines is cut into blocks, and every block meets every line in a task of its own.
+    A hash that only one line has stands for a shingle that the other lacks, so hashes that coincide lose no pair. A bucket
+    of more than ``BLOCK`` lines is cut into blocks, and every block meets every line in a task of its own. Written.
     """
     lines = held.join(bounded(written(rows.select("k1", "k2").distinct(), "line-left")), ["k1", "k2"], "left_semi")
     # written, so that no expression is carried into a lambda and computed for every shingle
     units = written(lines.select("k1", "k2", F.encode("line", "UTF-16BE").alias("u")), "line-units")
-    sets = units.select("k1", "k2", F.expr(f"array_distinct(transform(sequence(0, CAST(octet_length(u) DIV 2 AS INT) - {K}), i -> hash(substring(u, 2 * i + 1, {2 * K}))))").alias("s"))
+    whole = units.select("k1", "k2", F.expr(f"array_distinct(transform(sequence(0, CAST(octet_length(u) DIV 2 AS INT) - {K}), i -> xxhash64(substring(u, 2 * i + 1, {2 * K}))))").alias("h"))
+    sets = whole.select("k1", "k2", F.size("h").alias("d"), F.expr("array_distinct(transform(h, v -> CAST(shiftright(v, 48) AS SMALLINT)))").alias("s"))
     bands = rows.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("band")).alias("bands"))
-    rows = rows.join(written(sets.join(bands, ["k1", "k2"]), "line-sets"), ["k1", "k2"]).withColumn("me", F.struct("k1", "k2", "component", "s", "bands", "n", *(f"c{j}" for j in range(WORDS))))
+    sets = written(sets.join(bands, ["k1", "k2"]), "line-sets")
+    discard(units)
+    rows = rows.join(sets, ["k1", "k2"]).withColumn("me", F.struct("k1", "k2", "component", "d", "s", "bands", "n", *(f"c{j}" for j in range(WORDS))))
     a = rows.select("band", F.expr("pmod(k1, blocks)").alias("block"), F.col("me").alias("x"))
     b = rows.select("band", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), F.col("me").alias("y"))
-    alike = f"{100 + percent} * (1 + size(array_intersect(x.s, y.s))) >= {percent} * (size(x.s) + size(y.s))"
+    alike = f"{100 + percent} * (size(x.s) + size(y.s) - 2 * size(array_intersect(x.s, y.s))) <= {100 - percent} * (x.d + y.d)"
     first = "array_intersect(x.bands, y.bands)[0] = band"  # a pair is judged in one of its buckets
     met = a.join(b.hint("merge"), ["band", "block"]).where(f"x.component < y.component AND {likely('x', 'y', percent)} AND {first} AND {alike}")
-    return met.selectExpr(*PAIR).distinct()
+    met = written(met.selectExpr(*PAIR).distinct(), "line-crossed")
+    discard(sets)
+    return met
 
 
 def _set(line: str) -> str:
@@ -162,9 +168,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     discard(signed)
     twos = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()
     asked = twos.select(F.explode(F.array("a", "b")).alias("k1")).unionByName(members.select("k1")).distinct()
-    asked = written(asked, "line-asked")
-    held = written(lines.select("k1", "k2", "line").join(bounded(asked), "k1", "left_semi"), "line-texts")
-    discard(asked)
+    asked = bounded(written(asked, "line-asked"))
+    held = written(lines.select("k1", "k2", "line").join(asked, "k1", "left_semi"), "line-texts")
+    # all that is read of the other lines from here on is where they stand first, so the table of all texts goes
+    places = lines.select("k1", "k2", "first", "n").join(asked.withColumn("asked", F.lit(True)), "k1", "left").where("n > 1 OR asked").drop("asked")
+    places = written(places, "line-places")
+    spark.sql(f"DROP TABLE {table}")
+    for step in (asked, spark.read.schema(lines.schema).parquet(path)):
+        discard(step)
     marked = written(maps(held), "line-maps")
     members = members.join(marked, "k1")
     rows, pairs, found = unresolved(members, None), marked_pairs(twos, marked, percent), None
@@ -184,14 +195,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     before, found = found, components(_joined(found, edges(verified(crossed(rows, held, percent), held, percent)))).select("id.k1", "id.k2", "component")
     for step in (rows, before, held, marked):
         discard(step)
-    known = lines.select("k1", "k2", "first", "n").join(found, ["k1", "k2"], "left").where("n > 1 OR component IS NOT NULL")
+    known = places.join(found, ["k1", "k2"], "left").where("n > 1 OR component IS NOT NULL")
     known = known.select("k1", "k2", "first", F.coalesce("component", F.struct("k1", "k2")).alias("component"))
     keep = known.groupBy("component").agg(F.min("first").alias("keep"))
     known = written(known.select("k1", "k2", "component").join(keep, "component").select("k1", "k2", "keep"), "line-keep")
     gone = every.select("doc", "pos", "k1", "k2").join(bounded(known), ["k1", "k2"]).where("doc <> keep.doc OR pos <> keep.pos")
     out = written(gone.select("doc", "pos", F.col("keep.doc").alias("keep_doc"), F.col("keep.pos").alias("keep_pos")), "line-repeats")
-    spark.sql(f"DROP TABLE {table}")
-    for step in (known, spark.read.schema(lines.schema).parquet(path)):
+    for step in (known, places):
         discard(step)
     return out
 
