@@ -129,3 +129,22 @@ def test_knapsack_by_brute_force():
     value, pattern = packing.knapsack(prices, 7)
     best = max(0.3 * b + 0.55 * d + 0.8 * e for b in range(4) for d in range(2) for e in range(2) if 2 * b + 4 * d + 5 * e <= 7)
     assert value == pytest.approx(best) and (pattern * np.arange(1, 6)).sum() <= 7
+
+
+def test_parts_are_lower_cased_together():
+    from tidemark.llm import words
+
+    class Counted(words.Encoder):
+        asked = 0
+
+        def may_hold_special(self, text):
+            self.asked += 1
+            return super().may_hold_special(text)
+
+    texts = ["".join(chr(97 + (i * 7 + k) % 26) for k in range(9)) + f" {i}x{i}" for i in range(2000)]
+    code = Counted(vocabulary("byte_bpe_50k.json"), True, 100_000)
+    got = code.encode(pa.array([*texts, None, ""]))
+    assert code.asked == 1  # before, every new part was lower-cased and searched alone, twice
+    assert got == [code.whole(t) for t in texts] + [b"", b""]
+    odd = ["a <|ENDOFTEXT|> b", "x<|endoftext|>y z", "<|endoftext", "|> <|"]
+    assert code.encode(pa.array([*odd, *texts[:3]])) == [code.whole(t) for t in [*odd, *texts[:3]]]
