@@ -163,3 +163,25 @@ def test_crossed_sets_lose_no_long_pair(spark):
     marked = line_dedup.maps(held).select("k1", "k2", "n", *(F.lit(0).cast("long").alias(f"c{j}") for j in range(line_dedup.WORDS)))
     rows = marked.withColumn("band", F.lit(5)).withColumn("component", F.struct("k1", "k2")).withColumn("blocks", F.lit(1).cast("long"))
     assert [tuple(r) for r in line_dedup.crossed(rows, held, 80).collect()] == [(1, 1, 2, 2)]
+
+
+def test_documents_that_lose_nothing_are_not_shuffled(spark, monkeypatch):
+    """Beyond what is broadcast, whole texts move only where a line may go; few marks, so some coincide."""
+    line = "the same line in two documents, over and over"
+    rows = [(i, f"own words of document {i * i * 7919}, which stay") for i in range(40)]
+    rows += [(40, line), (41, f"{line}\n{line}\nand more"), (42, None), (None, line)]
+    docs = spark.createDataFrame([(i, t, "s", 1, 2, 3) for i, t in rows], SCHEMA)
+    gone = line_dedup.repeats(docs)
+    losing = {r["doc"] for r in gone.collect()}
+    assert 41 in losing and 40 not in losing
+    want = sorted(map(str, line_dedup.dedup(docs).collect()))
+    for marks in (1 << 26, 64):
+        monkeypatch.setattr(line_dedup, "MARKS", marks)
+        some, rest = ([r["doc"] for r in x.collect()] for x in line_dedup.touched(docs.select(F.col("doc_id").alias("doc")), gone))
+        assert sorted(map(str, some + rest)) == sorted(str(i) for i, _ in rows) and losing <= set(some)
+        assert marks == 64 or set(some) == losing
+    monkeypatch.setattr(line_dedup, "repeats", lambda *_: gone)
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST", 0)
+    out = line_dedup.dedup(docs)
+    assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, out.collect())) == want

@@ -33,6 +33,8 @@ K, BANDS, ROWS = 9, 10, 3
 BLOCK = 1000
 #: 64-bit words of a line's map.
 WORDS = 16
+#: Bits, by hash of the id, that tell which documents may lose lines: 8 MB, however many documents there are.
+MARKS = 1 << 26
 #: Buckets' lines meet centres so many times at most, but no more once all pairs are so many for each line at most.
 TURNS, FEW = 2, 64
 
@@ -211,6 +213,16 @@ def _joined(found: DataFrame | None, linked: DataFrame) -> DataFrame:
     return linked if found is None else found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(linked)
 
 
+def touched(rows: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (with ``doc``) that may lose a line of ``gone``, and those that lose none and need not be shuffled. By ``MARKS`` bits, broadcast."""
+    place = F.pmod(F.xxhash64("doc"), F.lit(MARKS))
+    word, bit = F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc), {MARKS}) & 63 AS INT))")
+    marks = gone.groupBy(word).agg(F.bit_or(bit).alias("marks"))
+    marked = rows.withColumn("word", word).join(F.broadcast(marks), "word", "left")
+    maybe = F.coalesce(F.col("marks").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(maybe).drop("word", "marks"), marked.where(~maybe).drop("word", "marks")
+
+
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 24, percent: int = 80) -> DataFrame:
     """(row: all columns of ``docs`` as they came, text without its repeated lines, n_lines, n_dropped, kept_in)."""
     gone = repeats(docs, id_col, text_col, min_chars, percent)
@@ -220,7 +232,11 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cha
     parts = F.split(F.col("row")[text_col], "\n")
     rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("pos"))
     text = F.when(F.col("pos").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.transform(rest, lambda i: F.get(parts, i)), "\n"))
-    joined = rows.join(F.broadcast(by) if few else by.hint("shuffle_hash"), "doc", "left")
+    if few:
+        joined = rows.join(F.broadcast(by), "doc", "left")
+    else:
+        some, rest = touched(rows, gone)
+        joined = some.join(by.hint("shuffle_hash"), "doc", "left").unionByName(rest, allowMissingColumns=True)
     return joined.select(
         "row",
         text.alias("text"),
