@@ -33,7 +33,7 @@ K, BANDS, ROWS = 9, 10, 3
 BLOCK = 1000
 #: 64-bit words of a line's map.
 WORDS = 16
-#: Bits, by hash of the id, that tell which documents may lose lines: 8 MB, however many documents there are.
+#: Bits, by hash of the id, that tell which documents may lose lines: 8 MB, in a million rows (some tens of MB broadcast), however many documents there are.
 MARKS = 1 << 26
 #: Buckets' lines meet centres so many times at most, but no more once all pairs are so many for each line at most.
 TURNS, FEW = 2, 64
