@@ -3,6 +3,7 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup
@@ -185,3 +186,34 @@ def test_documents_that_lose_nothing_are_not_shuffled(spark, monkeypatch):
     out = line_dedup.dedup(docs)
     assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, out.collect())) == want
+
+
+def test_sets_of_a_pair_are_made_once_and_judged_exactly(spark):
+    rng = random.Random(14)
+    syllables = ["ba", "ké", "lo", "mi", "👍", "жа", " "]
+    rows, want = [], set()
+    for i in range(120):
+        a = "".join(rng.choices(syllables, k=rng.randint(12, 200)))
+        at = rng.randrange(len(a))
+        b = a[:at] + "".join(rng.choices(syllables, k=rng.randint(1, 12))) + a[at:]
+        x, y = shingles(a), shingles(b)
+        rows.append((2 * i, a, 2 * i + 1, b))
+        want |= {2 * i} if 100 * len(x & y) >= 80 * len(x | y) else set()
+    lines = spark.createDataFrame([(k, k, t) for a, x, b, y in rows for k, t in ((a, x), (b, y))], "k1 long, k2 long, line string")
+    pairs = spark.createDataFrame([(a, a, b, b) for a, _, b, _ in rows], "a1 long, a2 long, b1 long, b2 long")
+    out = line_dedup.verified(pairs, lines, 80)
+    assert 20 < len(want) < 110 and {r["a1"] for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 2
+
+
+def test_a_text_is_split_once_and_not_for_each_of_its_lines(spark):
+    line = "the same line in two documents, over and over"
+    long = "\n".join(x for i in range(3000) for x in (f"own line number {i * 7919} of the long document {i}", line))
+    gone = spark.createDataFrame([(2, 2 * i + 1, 1, 0) for i in range(3000)], "doc long, pos int, keep_doc long, keep_pos int")
+    docs = spark.createDataFrame([(1, line), (2, long), (3, None)], "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(line_dedup, "repeats", lambda *_: gone)
+        out = line_dedup.dedup(docs)
+    assert "-1)[lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in out.collect()}
+    assert got == {1: (line, 0), 2: ("\n".join(long.split("\n")[::2]), 3000), 3: (None, 0)}

@@ -9,7 +9,8 @@ rules out pairs whose maps differ in more bits than linked lines have shingles a
 is computed from the whole shingle sets; distributed union-find joins what passes, and of each component only the first
 line, by document id and position, stays.
 
-Every shingle of a line enters its signature, however long the line is and however often it repeats itself.
+Every shingle of a line enters its signature, however long the line is and however often it repeats itself. Shingles
+stand for one another by 64-bit hashes.
 
 Defined cases: a null text has no lines and stays null; lines shorter than ``min_chars`` after trimming always stay, in
 place; repeated rows and rows that share an id are one document, so what stays of one stays of each; rows with a null id
@@ -115,13 +116,10 @@ def crossed(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     of more than ``BLOCK`` lines is cut into blocks, and every block meets every line in a task of its own. Written.
     """
     lines = held.join(bounded(written(rows.select("k1", "k2").distinct(), "line-left")), ["k1", "k2"], "left_semi")
-    # written, so that no expression is carried into a lambda and computed for every shingle
-    units = written(lines.select("k1", "k2", F.encode("line", "UTF-16BE").alias("u")), "line-units")
-    whole = units.select("k1", "k2", F.expr(f"array_distinct(transform(sequence(0, CAST(octet_length(u) DIV 2 AS INT) - {K}), i -> xxhash64(substring(u, 2 * i + 1, {2 * K}))))").alias("h"))
+    whole = lines.select("k1", "k2", F.expr(f"array_distinct({_hashes('line')})").alias("h"))
     sets = whole.select("k1", "k2", F.size("h").alias("d"), F.expr("array_distinct(transform(h, v -> CAST(shiftright(v, 48) AS SMALLINT)))").alias("s"))
     bands = rows.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("band")).alias("bands"))
     sets = written(sets.join(bands, ["k1", "k2"]), "line-sets")
-    discard(units)
     rows = rows.join(sets, ["k1", "k2"]).withColumn("me", F.struct("k1", "k2", "component", "d", "s", "bands", "n", *(f"c{j}" for j in range(WORDS))))
     a = rows.select("band", F.expr("pmod(k1, blocks)").alias("block"), F.col("me").alias("x"))
     b = rows.select("band", F.expr("explode(sequence(0L, blocks - 1))").alias("block"), F.col("me").alias("y"))
@@ -133,11 +131,9 @@ def crossed(rows: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return met
 
 
-def _set(line: str) -> str:
-    """A line's shingles: by one regular expression, or unit by unit where the line has characters of two units."""
-    units = f"encode({line}, 'UTF-16BE')"
-    slow = f"transform(sequence(0, CAST(octet_length({units}) div 2 AS INT) - {K}), i -> hex(substring({units}, 2 * i + 1, {2 * K})))"
-    return f"CASE WHEN octet_length({units}) = 2 * char_length({line}) THEN regexp_extract_all({line}, '(?s)(?=(.{{{K}}}))', 1) ELSE {slow} END"
+def _hashes(line: str) -> str:
+    """A hash for each place of a line. Its units are bound in a lambda: as a column they would be copied, all of them, for every place."""
+    return f"transform(array(encode({line}, 'UTF-16BE')), u -> transform(sequence(1, CAST(octet_length(u) AS INT) - {2 * K - 1}, 2), i -> xxhash64(substring(u, i, {2 * K}))))[0]"
 
 
 def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
@@ -145,10 +141,9 @@ def verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     a = lines.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("line").alias("la"))
     b = lines.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("line").alias("lb"))
     both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
-    # bound in a lambda, each set is computed once
-    alike = f"({100 + percent} * size(array_intersect(x.sa, x.sb)) >= {percent} * (size(array_distinct(x.sa)) + size(array_distinct(x.sb))))"
-    passed = F.expr(f"transform(array(struct({_set('la')} AS sa, {_set('lb')} AS sb)), x -> {alike})[0]")
-    return both.where(passed).select("a1", "a2", "b1", "b2")
+    # behind a generator, so that the condition is not moved to where it would compute the hashes twice
+    both = both.select("a1", "a2", "b1", "b2", F.expr(f"inline(array(struct({_hashes('la')} AS sa, {_hashes('lb')} AS sb)))"))
+    return both.where(f"100 * size(array_intersect(sa, sb)) >= {percent} * size(array_union(sa, sb))").select("a1", "a2", "b1", "b2")
 
 
 def edges(pairs: DataFrame) -> DataFrame:
@@ -230,8 +225,9 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_cha
     few = gone.count() <= MAX_BROADCAST // 4  # some tens of MB
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc"))
     parts = F.split(F.col("row")[text_col], "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("pos"))
-    text = F.when(F.col("pos").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.transform(rest, lambda i: F.get(parts, i)), "\n"))
+    left = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col("pos")), lambda i: F.get(p, i))
+    # bound in a lambda, a text is split once, not for each of its lines
+    text = F.when(F.col("pos").isNull(), F.col("row")[text_col]).otherwise(F.transform(F.array(parts), lambda p: F.array_join(left(p), "\n"))[0])
     if few:
         joined = rows.join(F.broadcast(by), "doc", "left")
     else:
